@@ -24,18 +24,19 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ._common import LOWER_ALNUM, save
 
 WINDOW = 13
 MAX_CHARS = 16_000_000
-SCAN_SCHEMA = "n_words long, hits array<struct<first:long,last:long,start:long,end:long>>, items array<string>"
-_SCAN_TYPES = [
-    pa.int64(),
-    pa.list_(pa.struct([(n, pa.int64()) for n in ("first", "last", "start", "end")])),
-    pa.list_(pa.string()),
-]
+RUN = "struct<first:bigint,last:bigint,start:bigint,end:bigint>"
+SCAN = f"struct<n_words:bigint,hits:array<{RUN}>,items:array<string>>"
+_RUN = ("first", "last", "start", "end")
+_SCAN_TYPE = pa.struct(
+    [("n_words", pa.int64()), ("hits", pa.list_(pa.struct([(n, pa.int64()) for n in _RUN]))), ("items", pa.list_(pa.string()))]
+)
 _ORIGINAL_WORD = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")
 
 
@@ -92,57 +93,29 @@ def scan(raw: bytes, text: str | None, automaton) -> tuple[int, list[tuple[int,
 _built: dict[str, object] = {}
 
 
-def _scanner(shared, key: str, window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan_column(shared, key: str, window: int):
+    @arrow_udf(SCAN)
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if key not in _built:
             _built.clear()
             _built[key] = build_automaton(shared.value, window)
         automaton = _built[key]
-        for b in batches:
-            raws = b.column(1).cast(pa.binary())
+        for texts in parts:
             out = []
-            for i, raw in enumerate(raws.to_pylist()):
+            for raw in texts.cast(pa.binary()).to_pylist():
                 raw = raw or b""
                 n, hits, items = scan(raw, None, automaton)
                 if hits:  # few texts: only these are decoded for the mapping to original offsets
                     n, hits, items = scan(raw, raw.decode(), automaton)
-                out.append((n, [dict(zip(("first", "last", "start", "end"), h)) for h in hits], items))
-            cols = [pa.array([o[k] for o in out], t) for k, t in enumerate(_SCAN_TYPES)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["id", "n_words", "hits", "items"])
+                out.append({"n_words": n, "hits": [dict(zip(_RUN, h)) for h in hits], "items": items})
+            yield pa.array(out, _SCAN_TYPE)
 
     return run
 
 
-def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_chars: int = MAX_CHARS
-) -> DataFrame:
-    """Per document: doc_id, n_words, hits (runs of marked words with original offsets), items (ids, sorted as strings)."""
-    spark = docs.sparkSession
-    items = benchmark.select(
-        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
-    shards = max(1, -(-size // max_chars))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def scanned(table: DataFrame, part: DataFrame, id_type: str) -> DataFrame:
-        shared = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])  # at most about max_chars
-        return table.mapInArrow(_scanner(shared, uuid.uuid4().hex, window), f"id {id_type}, {SCAN_SCHEMA}")
-
-    if shards == 1:
-        return scanned(docs.select("doc_id", "text"), items, kind).withColumnRenamed("id", "doc_id")
-    rows = save(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "decontamination")
-    found = None
-    for s in range(shards):
-        part = scanned(rows.select("rid", "text"), items.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == s), "long")
-        found = part if found is None else found.unionByName(part)
-    per = found.groupBy("id").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("hits"))).alias("runs"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    # Runs of different automata may overlap: runs sorted by their first word are merged in one fold.
-    none = F.array().cast("array<struct<first:bigint,last:bigint,start:bigint,end:bigint>>")
+def _united(a: Column, b: Column) -> Column:
+    """One scan result of two of the same text. Runs sorted by their first word are merged in one fold."""
+    none = F.array().cast(f"array<{RUN}>")
 
     def merge(acc, x):
         top = F.element_at(acc, -1)
@@ -153,19 +126,42 @@ def find_contamination(
             F.greatest(top["end"], x["end"]).alias("end"),
         )
         head = F.slice(acc, F.lit(1), F.size(acc) - 1)
-        return F.when((F.size(acc) > 0) & (x["first"] <= top["last"] + 1), F.concat(head, F.array(joined))).otherwise(
-            F.concat(acc, F.array(x))
-        )
+        meets = (F.size(acc) > 0) & (x["first"] <= top["last"] + 1)
+        return F.when(meets, F.concat(head, F.array(joined))).otherwise(F.concat(acc, F.array(x)))
 
-    merged = per.select("id", "n_words", F.aggregate("runs", none, merge).alias("hits"), "items")
-    return rows.select("rid", "doc_id").join(merged, F.col("rid") == F.col("id")).select("doc_id", "n_words", "hits", "items")
+    runs = F.array_sort(F.concat(a["hits"], b["hits"]))
+    items = F.array_sort(F.array_union(a["items"], b["items"]))
+    return F.struct(a["n_words"].alias("n_words"), F.aggregate(runs, none, merge).alias("hits"), items.alias("items"))
+
+
+def find_contamination(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_chars: int = MAX_CHARS
+) -> DataFrame:
+    """Per document: row (the input row), n_words, hits (runs of marked words with original offsets), items (ids, sorted as strings)."""
+    spark = docs.sparkSession
+    items = benchmark.select(
+        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text")
+    )
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+    shards = max(1, -(-size // max_chars))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    for s in range(shards):
+        part = items if shards == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == s)
+        shared = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])  # at most about max_chars
+        own = _scan_column(shared, uuid.uuid4().hex, window)(F.coalesce(F.col("row.text"), F.lit("")))
+        if s == 0:
+            rows = rows.select("row", own.alias("found"))
+        else:  # the automata are never in memory together: each scan is written before the next
+            rows = save(rows, "scanned").select("row", "found", own.alias("more"))
+            rows = rows.select("row", _united(F.col("found"), F.col("more")).alias("found"))
+    return rows.select("row", "found.n_words", "found.hits", "found.items")
 
 
 def judge(found: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items, hits, contaminated (a twentieth of the words or more is hit)."""
+    """row, n_words, n_hit, n_items, items, hits, contaminated (a twentieth of the words or more is hit)."""
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, h: acc + h["last"] - h["first"] + 1)
     return found.select(
-        "doc_id",
+        "row",
         "n_words",
         n_hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
@@ -173,3 +169,9 @@ def judge(found: DataFrame) -> DataFrame:
         "hits",
         ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that are not contaminated, with the columns of docs."""
+    clean = judge(find_contamination(docs, benchmark)).filter(~F.col("contaminated"))
+    return clean.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -239,3 +239,10 @@ def near_duplicates(
         .select("doc_id", "n_shingles", F.coalesce("component", "leader").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     )
+
+
+def drop_near_duplicates(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of docs that lead their component, and those without a doc_id; columns as in docs."""
+    gone = near_duplicates(docs, num, den).filter("doc_id is not null and not kept").select(F.col("doc_id").alias("gone")).distinct()
+    gone = maybe_broadcast(save(gone, "near-duplicates"), 2_000_000)
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone"), "left_anti")

@@ -8,8 +8,20 @@ from ._common import read_table
 from .chat_format import format_chats, loss_text, parse
 from .decontaminate import find_contamination, judge
 from .exact_dedup import exact_dedup
+from .html_extract import extract_main_text
 from .line_dedup import MIN_PAGES, RATIO, drop_boilerplate
 from .minhash_dedup import near_duplicates
+from .pii import digest, find_personal_data
+from .sentencepiece_codec import Codec, encode_documents
+from .substring_dedup import repeated_passages
+from .toxicity import toxicity
+
+#: Default place of the public vocabulary; a parameter of the functions below.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +60,7 @@ FROM done
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
     ids = F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")
-    return out.select("doc_id", "n_words", "n_hit", "n_items", ids, "contaminated")
+    return out.select("row.doc_id", "n_words", "n_hit", "n_items", ids, "contaminated")
 
 
 OP4_SQL = r"""
@@ -72,6 +84,10 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), 85, 100)
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     probe = spark.range(2).select(
@@ -106,11 +122,39 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM c GROUP BY conv_id
 """
 
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return encode_documents(read_table(spark, sf_dir, "documents"), Codec.load(vocabulary))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(read_table(spark, sf_dir, "documents"))
+    n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        n(1).alias("n_email"),
+        n(2).alias("n_ip"),
+        n(3).alias("n_card"),
+        n(4).alias("n_phone"),
+        F.sha2(digest("base").cast("binary"), 256).alias("base_sha256"),
+        digest("spans").alias("spans"),
+    )
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_html_extract": op6_html_extract,
     "op7_chat_format": op7_chat_format,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op9_pii": op9_pii,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op7_chat_format": OP7_SQL}
