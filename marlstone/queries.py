@@ -34,10 +34,14 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"), "lang", "source")
 
 
-def _by_lang(spark: SparkSession, sf: str) -> DataFrame:
-    """One cell for each language: all its texts in order, so that frames have many blocks."""
-    rows = _docs(spark, sf).withColumn("lang", F.coalesce("lang", F.lit("")))
-    return rows.groupBy("lang").agg(F.expr("listagg(content) WITHIN GROUP (ORDER BY doc_id)").alias("content"))
+#: A shard of texts: those of one language with the same doc_id // 200, so a cell is bounded whatever the size of a language.
+_SHARD = "coalesce(lang, '') || '-' || {}"
+
+
+def _shards(spark: SparkSession, sf: str) -> DataFrame:
+    """One cell for each shard: its texts in order, so that frames have several blocks."""
+    rows = _docs(spark, sf).withColumn("shard", F.expr(_SHARD.format("doc_id div 200")))
+    return rows.groupBy("shard").agg(F.expr("listagg(content) WITHIN GROUP (ORDER BY doc_id)").alias("content"))
 
 
 def _framed(spark, sf, options: FrameOptions = FrameOptions()) -> DataFrame:
@@ -124,20 +128,23 @@ def compress_bounds(spark, sf):
     return _docs(spark, sf).select("doc_id", C.compress_bound(F.octet_length("content")).alias("bound"), C.compress_bound(F.lit(0x7E000001)).alias("too_large"))
 
 
-@query("""WITH l AS (SELECT coalesce(lang, '') AS lang, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS n FROM documents GROUP BY 1)
-SELECT lang, CAST(i AS BIGINT) AS block_index, least(65536, n - 65536 * i) AS original_size FROM (SELECT lang, n, unnest(range((n + 65535) // 65536)) AS i FROM l)""")
+_SHARD_SQL = _SHARD.format("doc_id // 200")
+
+
+@query(f"""WITH l AS (SELECT {_SHARD_SQL} AS shard, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS n FROM documents GROUP BY 1)
+SELECT shard, CAST(i AS BIGINT) AS block_index, least(65536, n - 65536 * i) AS original_size FROM (SELECT shard, n, unnest(range((n + 65535) // 65536)) AS i FROM l)""")
 def block_table(spark, sf):
     """Multi-block frames: parsed blocks with decoded sizes."""
-    made = compress_frames(_by_lang(spark, sf), "lang", "content")
-    return fr.sized_blocks(made, "lang", "frame").select("lang", F.col("block_index").cast("long").alias("block_index"), "original_size")
+    made = compress_frames(_shards(spark, sf), "shard", "content")
+    return fr.sized_blocks(made, "shard", "frame").select("shard", F.col("block_index").cast("long").alias("block_index"), "original_size")
 
 
-@query("SELECT coalesce(lang, '') AS lang, md5(string_agg(coalesce(text, ''), '' ORDER BY doc_id)) AS digest, CAST((sum(strlen(coalesce(text, ''))) + 65535) // 65536 AS BIGINT) AS n_blocks, '' AS error FROM documents GROUP BY 1")
+@query(f"SELECT {_SHARD_SQL} AS shard, md5(string_agg(coalesce(text, ''), '' ORDER BY doc_id)) AS digest, CAST((sum(strlen(coalesce(text, ''))) + 65535) // 65536 AS BIGINT) AS n_blocks, '' AS error FROM documents GROUP BY 1")
 def parallel_roundtrip(spark, sf):
     """Block-parallel compression and decompression."""
-    made = compress_frames(_by_lang(spark, sf), "lang", "content", FrameOptions(block_checksum=True))
-    d = decompress_blocks(made, "lang")
-    return d.select("lang", F.md5("data").alias("digest"), "n_blocks", F.coalesce("error", F.lit("")).alias("error"))
+    made = compress_frames(_shards(spark, sf), "shard", "content", FrameOptions(block_checksum=True))
+    d = decompress_blocks(made, "shard")
+    return d.select("shard", F.md5("data").alias("digest"), "n_blocks", F.coalesce("error", F.lit("")).alias("error"))
 
 
 @query("SELECT doc_id, strlen(coalesce(text, '')) > 4096 AS large, md5(coalesce(text, '')) AS digest FROM documents")
@@ -340,13 +347,14 @@ def generator_bytes(spark, sf):
 
 
 def _tar_files(spark, sf) -> DataFrame:
-    """Pages as files: one archive for each host, names by the path of the url."""
+    """Pages as files, names by the path of the url: archives of each host with up to 100 page ids, so that an archive is bounded."""
     p = _t(spark, sf, "pages").filter("url is not null and html is not null")
-    host, path = F.regexp_extract("url", "//([^/]+)/", 1), F.regexp_extract("url", "//[^/]+/([^?#]*)", 1)
+    host = F.expr("regexp_extract(url, '//([^/]+)/', 1) || '-' || (page_id div 100)")
+    path = F.regexp_extract("url", "//[^/]+/([^?#]*)", 1)
     return p.select("page_id", host.alias("host"), F.concat(F.lit("site/"), path, F.lit("/"), F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.encode("html", "utf-8").alias("data"))
 
 
-_TAR_FILES = "SELECT page_id, regexp_extract(url, '//([^/]+)/', 1) AS host, 'site/' || regexp_extract(url, '//[^/]+/([^?#]*)', 1) || '/' || page_id || '.html' AS name, html FROM pages WHERE url IS NOT NULL AND html IS NOT NULL"
+_TAR_FILES = "SELECT page_id, regexp_extract(url, '//([^/]+)/', 1) || '-' || (page_id // 100) AS host, 'site/' || regexp_extract(url, '//[^/]+/([^?#]*)', 1) || '/' || page_id || '.html' AS name, html FROM pages WHERE url IS NOT NULL AND html IS NOT NULL"
 
 
 @query(f"SELECT host, name, '0' AS type, CAST(strlen(html) AS BIGINT) AS size, CAST(1700000000 AS BIGINT) AS mtime, true AS checksum_valid, md5(html) AS digest FROM ({_TAR_FILES})")
@@ -388,14 +396,14 @@ def files_by_directory(spark, sf):
     )
 
 
-@query("SELECT coalesce(lang, '') AS lang, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS original_size, true AS smaller, true AS bounded FROM documents GROUP BY 1")
+@query(f"SELECT {_SHARD_SQL} AS shard, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS original_size, true AS smaller, true AS bounded FROM documents GROUP BY 1")
 def compression_report(spark, sf):
     """Sizes and ratio by level (C17); ratios depend on match choices, so the row states what must hold of them."""
-    docs = _by_lang(spark, sf)
-    fast = compress_frames(docs, "lang", "content").select("lang", "original_size", F.octet_length("frame").alias("a"))
-    deep = compress_frames(docs, "lang", "content", FrameOptions(level=9)).select("lang", F.octet_length("frame").alias("b"))
-    j = fast.join(deep, "lang")
-    return j.select("lang", "original_size", (F.col("b") <= F.col("a") * 1.05).alias("smaller"), (F.col("a") <= C.compress_bound("original_size") + 64).alias("bounded"))
+    docs = _shards(spark, sf)
+    fast = compress_frames(docs, "shard", "content").select("shard", "original_size", F.octet_length("frame").alias("a"))
+    deep = compress_frames(docs, "shard", "content", FrameOptions(level=9)).select("shard", F.octet_length("frame").alias("b"))
+    j = fast.join(deep, "shard")
+    return j.select("shard", "original_size", (F.col("b") <= F.col("a") * 1.05).alias("smaller"), (F.col("a") <= C.compress_bound("original_size") + 64).alias("bounded"))
 
 
 @query()
