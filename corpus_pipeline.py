@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm._common import read_table, save
+from marlstone.llm._common import bound_batches, read_table, save
 from marlstone.llm.decontaminate import drop_contaminated
 from marlstone.llm.line_dedup import line_dedup
 from marlstone.llm.minhash_dedup import drop_near_duplicates
@@ -25,6 +25,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group stays (five words, similarity 0.8)."""
+    bound_batches(spark)
     return drop_near_duplicates(docs, 4, 5)
 
 
@@ -35,6 +36,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and whether they decode to its text."""
+    bound_batches(spark)
     return encode_documents(docs, Codec.load(VOCABULARY))
 
 

@@ -19,7 +19,15 @@ _MASK = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15
 
 
+def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of at most `rows` texts, unless the session asks for fewer: what a Python worker holds at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -23,6 +23,7 @@ from array import array
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
@@ -38,12 +39,12 @@ class Codec:
 
     def __init__(self, scores: dict[str, tuple[float, int]], byte_ids: list[int], unknown: int):
         self.scores, self.byte_ids, self.unknown = scores, byte_ids, unknown
-        self.longest = max(map(len, scores))
         self.penalty = min(s for s, _ in scores.values()) - UNKNOWN_PENALTY
         self.key = uuid.uuid4().hex
         crossing = [p for p in scores if MARK in p.lstrip(MARK) or "\n" in p]
         if crossing:
             raise ValueError(f"pieces cross word boundaries: {crossing[:5]}")
+        self._endings = None
         self.pieces = {i: p.encode() for p, (_, i) in scores.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
 
     @staticmethod
@@ -62,14 +63,37 @@ class Codec:
             raise ValueError("the vocabulary has no byte pieces")
         return Codec(scores, byte_ids, sp.unk_id())
 
+    @property
+    def endings(self) -> tuple:
+        """Trie of reversed pieces: (lookup of the character before, score or None, id). Built where it is used."""
+        if self._endings is None:
+            root: dict = {}
+            for p, (score, i) in self.scores.items():
+                node = root
+                for c in p[:0:-1]:
+                    node = node.setdefault(c, [{}, None, -1])[0]
+                node.setdefault(p[0], [{}, None, -1])[1:] = [score, i]
+
+            def frozen(children: dict):
+                return {c: (frozen(x[0]).get, x[1], x[2]) for c, x in children.items()}
+
+            self._endings = (frozen(root).get, None, -1)
+        return self._endings
+
+    def __getstate__(self):
+        return self.__dict__ | {"_endings": None}
+
     def spell(self, text: str) -> tuple[int, ...]:
         return tuple(self.byte_ids[b] for b in text.encode("utf-8", "surrogatepass"))
 
     def encode_words(self, words) -> dict[str, tuple[int, ...]]:
-        """Ids of each distinct marked word (blanks not yet marked), shared prefixes scored once."""
-        scores, longest, penalty = self.scores, self.longest, self.penalty
+        """Ids of each distinct marked word (blanks not yet marked), shared prefixes scored once.
+
+        The best score of a prefix is the best over the pieces that end it, which a trie of reversed pieces lists.
+        """
+        penalty, root = self.penalty, self.endings
         out: dict[str, tuple[int, ...]] = {}
-        best, back, last = [0.0], [0], ""
+        best, back, piece, last = [0.0], [0], [0], ""
         for word in sorted(words):
             if word == "\n" or word == MARK:
                 out[word] = self.spell(word)
@@ -79,27 +103,30 @@ class Codec:
             keep, most = 0, min(n, len(last))
             while keep < most and w[keep] == last[keep]:
                 keep += 1
-            del best[keep + 1 :], back[keep + 1 :]
+            del best[keep + 1 :], back[keep + 1 :], piece[keep + 1 :]
             for i in range(keep + 1, n + 1):
-                top, at = best[i - 1] + penalty, i - 1
-                found = False
-                for j in range(i - longest if i > longest else 0, i):
-                    s = scores.get(w[j:i])
+                top, at, own, node = best[i - 1] + penalty, i - 1, -1, root
+                j = i
+                while j:
+                    j -= 1
+                    node = node[0](w[j])
+                    if node is None:
+                        break
+                    s = node[1]
                     if s is not None:
-                        v = best[j] + s[0]
-                        if v > top or (v == top and not found):
-                            top, at, found = v, j, True
+                        v = best[j] + s
+                        if v >= top:
+                            top, at, own = v, j, node[2]
                 best.append(top)
-                back.append(at if found else ~at)
+                back.append(at)
+                piece.append(own)
             last, i, ids = w, n, []
             while i:
-                j = back[i]
-                if j < 0:
-                    j = ~j
-                    ids.extend(reversed(self.spell(w[j:i])))
+                if piece[i] < 0:
+                    ids.extend(reversed(self.spell(w[back[i] : i])))
                 else:
-                    ids.append(scores[w[j:i]][1])
-                i = j
+                    ids.append(piece[i])
+                i = back[i]
             out[word] = tuple(reversed(ids))
         return out
 
@@ -135,25 +162,24 @@ def _slices(texts: list[str | None]) -> Iterator[list[str | None]]:
         yield own
 
 
-def encode_column(codec: Codec, spark):
-    """A function from a text column to struct(ids, intact): its piece ids, and whether they decode to the text."""
-    box = spark.sparkContext.broadcast(codec)
-
-    @arrow_udf("struct<ids:array<int>,intact:boolean>")
-    def encode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def _encoder(box):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = box.value
-        for texts in parts:
-            values, offsets, intact, size = array("i"), array("i", [0]), [], 0
-            for own in _slices(texts.to_pylist()):
+        for b in batches:
+            at = 0
+            for own in _slices(b.column(1).to_pylist()):
+                values, offsets, intact = array("i"), array("i", [0]), []
                 for text, ids in zip(own, codec.encode(own)):
                     intact.append(None if ids is None else codec.decode(ids) == text)
                     values.extend(ids or ())
                     offsets.append(len(values))
-            nulls = pa.array([x is None for x in intact], pa.bool_())
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()), mask=nulls)
-            yield pa.StructArray.from_arrays([lists, pa.array(intact, pa.bool_())], names=["ids", "intact"])
+                nulls = pa.array([x is None for x in intact], pa.bool_())
+                flat = pa.array(np.frombuffer(values, np.int32) if values else np.empty(0, np.int32))
+                lists = pa.ListArray.from_arrays(pa.array(np.frombuffer(offsets, np.int32)), flat, mask=nulls)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(own)), lists, pa.array(intact, pa.bool_())], names=["doc_id", "ids", "intact"])
+                at += len(own)
 
-    return encode
+    return run
 
 
 def decode_column(codec: Codec, spark):
@@ -171,6 +197,7 @@ def decode_column(codec: Codec, spark):
 
 def encode_documents(docs: DataFrame, codec: Codec) -> DataFrame:
     """doc_id, n_ids, ids, intact per row of docs."""
-    run = encode_column(codec, docs.sparkSession)
-    out = docs.select("doc_id", run(docs["text"]).alias("e"))
-    return out.select("doc_id", F.coalesce(F.size("e.ids"), F.lit(0)).cast("long").alias("n_ids"), F.col("e.ids").alias("ids"), F.col("e.intact").alias("intact"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    box = docs.sparkSession.sparkContext.broadcast(codec)
+    out = docs.select("doc_id", "text").mapInArrow(_encoder(box), f"doc_id {kind}, ids array<int>, intact boolean")
+    return out.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "ids", "intact")
