@@ -4,28 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import save, small_enough
+from ._common import maybe_broadcast, save, small_enough
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _flattened(tree: DataFrame) -> DataFrame:
+    """node, up of a forest (node, up) in which every node points at its root; the pointers' lengths double each pass."""
+    while True:
+        above = maybe_broadcast(tree.select(F.col("node").alias("at"), F.col("up").alias("top")), 1_000_000)
+        jumped = tree.join(above, F.col("up") == F.col("at")).select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("changed"))
+        jumped = save(jumped, "tree")
+        tree = jumped.select("node", "up")
+        if small_enough(jumped.filter("changed"), 0):
+            return tree
+
+
+def connected_components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of every node in links (a, b).
 
-    Union-find by min-label hooking and pointer jumping: each round, every node takes the smallest label among
-    itself and its neighbours, then the label of its label. Labels only fall, so rounds end after about the logarithm of the longest
-    path; each round is a written table, so lineage stays short and lost executors cost one round at most.
+    Union-find by hooking roots and contracting: each round, every node with a smaller neighbour hooks to its smallest one,
+    the trees are flattened, and links are carried over to the roots, where those within one tree vanish. A root left
+    alone by its neighbours has a smaller neighbour after the contraction, so two rounds halve the nodes of a component at
+    least: the rounds are logarithmic in the nodes, whatever the numbering, and go on until no link is left. A round flattens in about
+    the logarithm of its tree's depth. Each step is a written table, so lineage stays short and lost executors cost one step.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = save(both.filter("a != b").distinct(), "links")
-    labels = save(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
-    for _ in range(max_rounds):
-        seen = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        hooked = labels.join(seen, F.col("node") == F.col("a")).select("node", "label", F.least("label", "near").alias("low"))
-        up = labels.select(F.col("node").alias("up"), F.col("label").alias("top"))
-        moved = hooked.join(up, F.col("low") == F.col("up")).select(
-            "node", F.least("low", "top").alias("new"), (F.least("low", "top") != F.col("label")).alias("changed")
-        )
-        moved = save(moved, "labels")
-        labels = moved.select("node", F.col("new").alias("label"))
-        if small_enough(moved.filter("changed"), 0):
-            return labels.select("node", F.col("label").alias("component"))
-    raise RuntimeError(f"labels still move after {max_rounds} rounds")
+    rounds = []
+    while not rounds or not small_enough(both, 0):
+        tree = save(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")), "tree")
+        rounds.append(_flattened(tree))
+        roots = maybe_broadcast(rounds[-1], 1_000_000)
+        left, right = (roots.select(F.col("node").alias(f"{c}_node"), F.col("up").alias(f"{c}_up")) for c in "ab")
+        both = both.join(left, F.col("a") == F.col("a_node")).join(right, F.col("b") == F.col("b_node"))
+        both = save(both.filter("a_up != b_up").select(F.col("a_up").alias("a"), F.col("b_up").alias("b")).distinct(), "links")
+    # A round's roots are the next one's nodes, unless no link is left to them.
+    found = rounds.pop()
+    while rounds:
+        later = maybe_broadcast(found.select(F.col("node").alias("root"), F.col("up").alias("top")), 1_000_000)
+        found = rounds.pop().join(later, F.col("up") == F.col("root"), "left").select("node", F.coalesce("top", "up").alias("up"))
+        found = save(found, "components")
+    return found.select("node", F.col("up").alias("component"))
