@@ -111,8 +111,8 @@ def _read_length(src: bytes, i: int, n: int) -> tuple[int, int]:
 
 def decode_block(src: bytes, limit: int, prefix: bytes = b"") -> tuple[bytes, str | None]:
     """(bytes, error) of a block. At most `limit` bytes; a truncated block gives what it holds."""
-    if not prefix and 0 < len(src) and limit <= 1 << 22:
-        # A block alone in a minimal frame decodes in the native library; odd blocks are walked below.
+    if not prefix and 0 < len(src):
+        # A block alone in a minimal frame decodes in the native library; odd blocks and those over 4 MiB are walked below.
         frame = b"\x04\x22\x4d\x18\x60\x70\x73" + struct.pack("<I", len(src)) + src + bytes(4)
         try:
             out = pa.CompressedInputStream(pa.BufferReader(frame), "lz4").read()

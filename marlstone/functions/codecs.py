@@ -32,10 +32,24 @@ def block_compress(col, level: int = 1, dictionary: bytes = b"") -> Column:
     return _map("binary", pa.binary(), lambda b: _bytes.encode_block(b, level, dictionary))(col)
 
 
-def block_decompress(col, max_size: int = 1 << 22, dictionary: bytes = b"") -> Column:
-    """struct(data, error) of an LZ4 block."""
+def _block(raw: bytes, size: int, dictionary: bytes) -> dict:
+    data, error = _bytes.decode_block(raw, size + 1, dictionary)
+    if len(data) > size:
+        data, error = data[:size], error or f"Larger than {size} bytes"
+    return {"data": data, "error": error}
+
+
+def block_decompress(col, max_size: int | Column = 1 << 22, dictionary: bytes = b"") -> Column:
+    """struct(data, error) of an LZ4 block. max_size is the known size of its content, or a bound; a longer content is an error."""
     kind = pa.struct([("data", pa.binary()), ("error", pa.string())])
-    return _map("struct<data:binary,error:string>", kind, lambda b: dict(zip(("data", "error"), _bytes.decode_block(b, max_size, dictionary))))(col)
+
+    def run(cells: pa.Array, sizes: pa.Array) -> pa.Array:
+        both = zip(cells.cast(pa.binary()).to_pylist(), sizes.to_pylist())
+        return pa.array([None if b is None or n is None else _block(b, n, dictionary) for b, n in both], kind)
+
+    run.__annotations__ = {"cells": pa.Array, "sizes": pa.Array, "return": pa.Array}
+    size = max_size if isinstance(max_size, Column) else F.lit(max_size)
+    return arrow_udf(run, "struct<data:binary,error:string>")((F.col(col) if isinstance(col, str) else col).cast("binary"), size.cast("long"))
 
 
 DECODED = "struct<data:binary,n_frames:int,type:string,content_size:bigint,content_checksum_valid:boolean,error:string>"
