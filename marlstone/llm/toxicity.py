@@ -1,147 +1,175 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, of toxic and of ordinary labelled texts, are interpolated with Kneser-Ney discounts down to shared
-continuation counts of both classes, so that expressions rare in either class get the same probability from both and
-say nothing. A text is scored by length-normalised log-likelihood ratios: the mean over the whole text and over its
-two most toxic segments of `SEGMENT` words (a few expressions in a long text would vanish in its mean alone). A logistic
-curve maps these to a probability; it is fitted on a sample of at most about FIT_ROWS labelled texts.
+Two bigram models, of toxic and of ordinary labelled texts, discount their counts down to one shared backoff
+distribution. An expression counts once for each text that holds it, so a text that repeats a word thousands of times is
+one piece of evidence. Counts up to a discount (PAIR_DISCOUNT, WORD_DISCOUNT texts) are given to the shared counts, and both classes back
+off with the same weight: hence an expression that is rare in both classes has the same probability in both and says nothing.
 
-Counts cover all labelled texts the caller allows, and are Spark aggregations. An expression enters the vocabulary (or
-the bigram table) if it makes up more than SHARE of the words of either class and occurs MIN_COUNT times: hence there are at most
-2 / SHARE of each, whatever the size of the corpus, and the model can be broadcast. All others are read as one rare word.
+A text is scored by the length-normalised difference of its log-likelihoods, and by how that difference is spread: its mean over
+distinct words, its three highest words, and what lies above one unit (a few expressions in a long text would vanish in
+its mean alone). A logistic curve maps these to a probability. It is fitted on a sample of labelled texts, at most about FIT_ROWS / 2 of
+each class, weighted back to the share of their class; the text's own counts are left out of its features.
+
+Counts cover all labelled texts the caller allows; they are Spark aggregations and grow with the corpus, no share of it is cut off.
+Entries that a discount reduces to nothing in both classes cannot change a score, and are not looked up. The others are broadcast
+if their counted number is at most `max_broadcast`; beyond it texts are exploded to their distinct pairs and joined. Both ways
+compute the same features.
 
 Defined results: null and empty texts score the fitted curve at zero words. Rows with null or missing labels teach
-nothing; of several labels of one doc_id the largest counts. Repeated rows are scored each, alike. Without labels of both
-classes every score is the share of toxic labels (0 without any). Only the named columns are read.
+nothing; of several labels of one doc_id the largest counts. Repeated rows are scored each, alike. Without labelled texts of both
+classes every score is the share of toxic ones (0 without any). Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ._common import maybe_broadcast, save
+from ._common import maybe_broadcast, mix64, save, shingle_hashes, small_enough, spaced
 
-SHARE = 1e-5
-MIN_COUNT = 3
+PAIR_DISCOUNT = 3
+WORD_DISCOUNT = 4
 FIT_ROWS = 20_000
-SEGMENT = 24
 REJECT_AT = 0.7
-FLUSH = 400_000
-RARE, START = 0, 1
+CHUNK_BYTES = 200_000
+#: Largest number of model entries that is broadcast (at most 56 bytes each).
+MODEL_ROWS = 4_000_000
+START = np.uint64(1)
 #: Byte table: ASCII capitals become small; other ASCII bytes than letters become blanks.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
+FEATURES = 8
 
 
-def words_of(raw: bytes | None) -> list[bytes]:
-    return (raw or b"").translate(LETTERS).split()
+@dataclass
+class Chunk:
+    """Words of some texts as 64-bit hashes, and their distinct pairs: text, word, word before, pair, times."""
 
+    size: int
+    words: np.ndarray  # of each text
+    text: np.ndarray
+    word: np.ndarray
+    before: np.ndarray
+    pair: np.ndarray
+    times: np.ndarray
 
-def _flushed(counts: dict, kind: pa.DataType) -> pa.RecordBatch:
-    keys = list(counts)
-    out = pa.RecordBatch.from_arrays(
-        [pa.array(keys, kind), *(pa.array([counts[k][i] for k in keys], pa.int64()) for i in (0, 1))], names=["key", "c0", "c1"]
-    )
-    counts.clear()
-    return out
 
+def chunks_of(raws: list[bytes | None]) -> Iterator[Chunk]:
+    """Texts in order, at least one and about CHUNK_BYTES a chunk, so that a short text costs no array calls of its own."""
+    own, size = [], 0
+    for raw in raws:
+        own.append(spaced(raw or b"", LETTERS))
+        size += len(own[-1])
+        if size > CHUNK_BYTES:
+            yield _chunk(own)
+            own, size = [], 0
+    if own:
+        yield _chunk(own)
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[bytes, list[int]] = {}
+
+def _chunk(texts: list[bytes]) -> Chunk:
+    n = np.array([t.count(b" ") + 1 if t else 0 for t in texts], np.int64)
+    w = shingle_hashes(b" ".join(t for t in texts if t), 1)
+    text = np.repeat(np.arange(len(texts)), n)
+    before = np.roll(w, 1)
+    before[(np.cumsum(n) - n)[n > 0]] = START
+    pair = mix64(before ^ mix64(w, 31), 32)
+    _, first, times = np.unique(mix64(pair ^ text.astype(np.uint64), 33), return_index=True, return_counts=True)
+    return Chunk(len(texts), n, text[first], w[first], before[first], pair[first], times)
+
+
+def _summed(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct keys, where each occurs first, and how often in either class."""
+    u, first, at = np.unique(keys, return_index=True, return_inverse=True)
+    return u, first, [np.bincount(at[classes == c], minlength=len(u)) for c in (0, 1)]
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, np.ndarray]]:
     for b in batches:
-        for raw, toxic in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist()):
-            for w in words_of(raw):
-                if w in counts:
-                    counts[w][toxic] += 1
-                else:
-                    counts[w] = [1 - toxic, toxic]
-            if len(counts) > FLUSH:
-                yield _flushed(counts, pa.binary())
-    yield _flushed(counts, pa.binary())
-
-
-def _ids(words: list[bytes], index: dict[bytes, int]) -> np.ndarray:
-    get = index.get
-    out = np.empty(len(words) + 1, np.int64)
-    out[0] = START
-    out[1:] = [get(w, RARE) for w in words]
-    return out
-
-
-_loaded: dict[str, object] = {}
-
-
-def _once(key: str, make):
-    if key not in _loaded:
-        if len(_loaded) > 3:
-            _loaded.clear()
-        _loaded[key] = make()
-    return _loaded[key]
-
-
-def _count_pairs(vocabulary, key: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _once(key, lambda: {w: i + 2 for i, w in enumerate(vocabulary.value)})
-        size = len(vocabulary.value) + 2
-        held: list[list[np.ndarray]] = [[], []]
-        n = 0
-
-        def flush():
-            got = [np.unique(np.concatenate(h), return_counts=True) if h else (np.empty(0, np.int64),) * 2 for h in held]
-            for toxic, (codes, counts) in enumerate(got):
-                zero = np.zeros(len(codes), np.int64)
-                c = [zero, zero]
-                c[toxic] = counts.astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(c[0]), pa.array(c[1])], names=["key", "c0", "c1"])
-            held[0].clear(), held[1].clear()
-
-        for b in batches:
-            for raw, toxic in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist()):
-                ids = _ids(words_of(raw), index)
-                held[toxic].append(ids[:-1] * size + ids[1:])
-                n += len(ids)
-                if n > 4 * FLUSH:
-                    yield from flush()
-                    n = 0
-        yield from flush()
-
-    return run
+        toxic, at = b.column(1).to_numpy(), 0
+        for c in chunks_of(b.column(0).cast(pa.binary()).to_pylist()):
+            yield c, toxic[at : at + c.size][c.text]
+            at += c.size
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with the pairs that end (u) and begin (p) with them, each pair once a text."""
+    for c, toxic in _labelled(batches):
+        for keys, kind in ((c.word, "u"), (c.before, "p")):
+            u, _, n = _summed(keys, toxic)
+            none = np.zeros(len(u), np.int64)
+            cols = [*n, none, none] if kind == "u" else [none, none, *n]
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), *map(pa.array, cols)], names=["key", "u0", "u1", "p0", "p1"])
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for c, toxic in _labelled(batches):
+        u, first, n = _summed(c.pair, toxic)
+        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.before[first].view(np.int64)), *map(pa.array, n)], names=["key", "h", "c0", "c1"])
+
+
+@dataclass
 class Model:
-    """Tables of both models, bounded by 2 / SHARE rows each; log-likelihood ratios of word lists."""
-
-    def __init__(self, vocabulary: list[bytes], lower, gamma, codes, direct, curve=None):
-        self.vocabulary, self.lower, self.gamma, self.codes, self.direct, self.curve = vocabulary, lower, gamma, codes, direct, curve
-        self.key = uuid.uuid4().hex
-
-    def ratios(self, words: list[bytes], index: dict[bytes, int]) -> np.ndarray:
-        """log p(word | previous, toxic) - log p(word | previous, ordinary) of each word."""
-        ids = _ids(words, index)
-        before, now = ids[:-1], ids[1:]
-        p = [self.gamma[c][before] * self.lower[c][now] for c in (0, 1)]
-        if len(self.codes):
-            codes = before * len(self.lower[0]) + now
-            at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-            hit = np.flatnonzero(self.codes[at] == codes)
-            for c in (0, 1):
-                p[c][hit] += self.direct[c][at[hit]]
-        return np.log(p[1]) - np.log(p[0])
-
-    def features(self, raw: bytes | None, index: dict[bytes, int]) -> tuple[float, ...]:
-        """Mean ratio of the text, mean ratios of its two most toxic segments, log of its length."""
-        words = words_of(raw)
-        if not words:
-            return 0.0, 0.0, 0.0, 0.0
-        r = self.ratios(words, index)
-        sums = np.add.reduceat(r, np.arange(0, len(r), SEGMENT)) / SEGMENT
-        top = np.sort(sums)[-2:]
-        return float(r.mean()), float(top[-1]), float(top[0]) if len(top) > 1 else 0.0, float(np.log1p(len(r)))
+    """Counted tables (as DataFrames) and, if they are small enough, their rows; totals; the fitted curve."""
+
+    words: DataFrame | None
+    pairs: DataFrame | None
+    weight: float  # of the shared distribution
+    own: tuple[float, float]  # discounted words of each class
+    total: float
+    arrays: tuple[np.ndarray, ...] | None = None
+    curve: tuple | None = None
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def __getstate__(self):
+        return self.__dict__ | {"words": None, "pairs": None}
+
+    def ratio(self, u, c, lam, used, log, most):
+        """log p(word | before, toxic) - log p(word | before, ordinary) from counts, in numpy or in columns."""
+        shared = (u[0] + u[1] + 0.5) * (self.weight / self.total)
+        p = []
+        for k in (0, 1):
+            low = most(u[k] - WORD_DISCOUNT, 0) * ((1 - self.weight) / self.own[k]) + shared
+            p.append(lam * most(c[k] - PAIR_DISCOUNT, 0) / most(used[k], 1) + (1 - lam) * low)
+        return log(p[1]) - log(p[0])
+
+    def features(self, raws: list[bytes | None], own: np.ndarray | None = None) -> np.ndarray:
+        """Features of texts; own holds their classes if their counts are in the model and must be left out."""
+        out, at = [np.empty((0, FEATURES))], 0
+        for c in chunks_of(raws):
+            out.append(self._features(c, None if own is None else own[at : at + c.size]))
+            at += c.size
+        return np.concatenate(out)
+
+    def _features(self, t: Chunk, own: np.ndarray | None) -> np.ndarray:
+        u = _looked_up(self.arrays[0], self.arrays[1:3], t.word)
+        c0, c1, lam, used0, used1 = _looked_up(self.arrays[3], self.arrays[4:], t.pair)
+        c = [c0, c1]
+        _, place, group, per = np.unique(mix64(t.word ^ t.text.astype(np.uint64), 34), return_index=True, return_inverse=True, return_counts=True)
+        if own is not None:
+            for k in (0, 1):
+                mine = own[t.text] == k
+                c[k] = c[k] - mine
+                u[k] = np.maximum(u[k] - mine * per[group], 0)
+        r = self.ratio(u, c, lam, (used0, used1), np.log, np.maximum)
+        best = np.full(len(place), -np.inf)
+        np.maximum.at(best, group, r)
+        owner = t.text[place]
+        order = np.lexsort((-best, owner))
+        rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
+        top = np.zeros((t.size, 3))
+        lead = rank < 3
+        top[owner[order][lead], rank[lead]] = best[order][lead]
+        total = lambda at, v: np.bincount(at, v, minlength=t.size)
+        n, kinds = np.maximum(t.words, 1), np.maximum(np.bincount(owner, minlength=t.size), 1)
+        return np.column_stack(
+            [total(t.text, r * t.times) / n, total(owner, best) / kinds, top, total(owner, np.maximum(best - 1, 0)), total(t.text, np.maximum(r - 1, 0) * t.times) / n, np.log1p(t.words)]
+        )
 
     def score(self, features: np.ndarray) -> np.ndarray:
         mean, scale, w = self.curve
@@ -149,21 +177,30 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
 
 
+def _looked_up(keys: np.ndarray, values: tuple[np.ndarray, ...], wanted: np.ndarray) -> list[np.ndarray]:
+    """Values at the wanted keys of sorted keys, zero where there is none."""
+    if not len(keys):
+        return [np.zeros(len(wanted)) for _ in values]
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = keys[at] == wanted
+    return [np.where(hit, v[at], 0.0) for v in values]
+
+
 def expand(x: np.ndarray) -> np.ndarray:
     """Features and their products by pairs."""
     n = x.shape[1]
     return np.column_stack([x] + [x[:, i] * x[:, j] for i in range(n) for j in range(i, n)])
 
 
-def fit_curve(features: np.ndarray, labels: np.ndarray, penalty: float = 1e-2, rounds: int = 60):
-    """Logistic regression by damped Newton steps."""
+def fit_curve(features: np.ndarray, labels: np.ndarray, weights: np.ndarray, penalty: float = 1e-2, rounds: int = 60):
+    """Weighted logistic regression by damped Newton steps."""
     mean, scale = features.mean(0), features.std(0) + 1e-9
     x = np.column_stack([expand((features - mean) / scale), np.ones(len(features))])
     w = np.zeros(x.shape[1])
-    reg = np.full(x.shape[1], penalty)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(reg), x.T @ (labels - p) - reg * w)
+        slope = (x * (weights * (p * (1 - p) + 1e-9))[:, None]).T @ x + penalty * np.eye(len(w))
+        step = np.linalg.solve(slope, x.T @ (weights * (labels - p)) - penalty * w)
         w = w + step * min(1.0, 4.0 / (np.abs(step).max() + 1e-9))
         if np.abs(step).max() < 1e-6:
             break
@@ -175,102 +212,144 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def _discount(counts: DataFrame, name: str) -> float:
-    n1, n2 = counts.agg(F.count_if(F.col(name) == 1), F.count_if(F.col(name) == 2)).first()
-    return n1 / (n1 + 2 * n2) if n1 and n2 else 0.75
-
-
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, share: float = SHARE) -> Model | float:
-    """The models of all labelled rows that are not held out; a bare share of toxic labels if a class is missing."""
-    spark = docs.sparkSession
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = docs.select("doc_id", "text").join(maybe_broadcast(known, 2_000_000), "doc_id").select("text", "toxic", "doc_id")
-    schema = lambda kind: f"key {kind}, c0 long, c1 long"
-
-    words = save(rows.select("text", "toxic").mapInArrow(_count_words, schema("binary")).groupBy("key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "word-counts")
-    n0, n1 = (x or 0 for x in words.agg(F.sum("c0"), F.sum("c1")).first())
-    total, toxic = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
-    if not n0 or not n1:
-        return (toxic or 0) / total if total else 0.0
-    often = lambda: (F.col("c0") >= max(MIN_COUNT, share * n0)) | (F.col("c1") >= max(MIN_COUNT, share * n1))
-    vocabulary = sorted(bytes(r.key) for r in words.filter(often()).select("key").collect())  # at most 2 / share
-    size = len(vocabulary) + 2
-    shared = spark.sparkContext.broadcast(vocabulary)
-    pairs = rows.select("text", "toxic").mapInArrow(_count_pairs(shared, uuid.uuid4().hex), schema("long"))
-    pairs = pairs.groupBy("key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    pairs = save(pairs.withColumn("h", F.expr(f"key div {size}")).withColumn("w", F.expr(f"key % {size}")), "pair-counts")
-    kept = pairs.filter(often()).orderBy("key").toPandas()  # at most 2 / share
-    d = [_discount(pairs, c) for c in ("c0", "c1")]
-
-    by_word = pairs.groupBy("w").agg(F.count(F.lit(1)).alias("any"), F.count_if(F.expr("c0 > 0")).alias("k0"), F.count_if(F.expr("c1 > 0")).alias("k1")).toPandas()
-    by_past = pairs.groupBy("h").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).toPandas()  # as many as words
-    common = np.full(size, 0.5)
-    np.add.at(common, by_word["w"].to_numpy(), by_word["any"].to_numpy())
-    common /= common.sum()
-    lower, gamma, direct = [], [], []
-    for c in (0, 1):
-        seen = np.zeros(size)
-        seen[by_word["w"]] = by_word[f"k{c}"]
-        all_seen = max(seen.sum(), 1)
-        lower.append(np.maximum(seen - d[c], 0) / all_seen + np.minimum(seen, d[c]).sum() / all_seen * common)
-        past = np.zeros(size)
-        past[by_past["h"]] = by_past[f"c{c}"]
-        own = np.maximum(kept[f"c{c}"].to_numpy() - d[c], 0) / np.maximum(past[kept["h"]], 1)
-        direct.append(own)
-        used = np.zeros(size)
-        np.add.at(used, kept["h"].to_numpy(), own)
-        gamma.append(np.maximum(1 - used, 1e-6))
-    model = Model(vocabulary, lower, gamma, kept["key"].to_numpy(), direct)
-
-    sample = rows
-    if total > fit_rows:
-        sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / total))
-    box = spark.sparkContext.broadcast(model)
-    fitted = sample.select(_features(box)("text").alias("f"), "toxic").toPandas()
-    if len(set(fitted["toxic"])) < 2:
-        return toxic / total
-    model.curve = fit_curve(np.array(fitted["f"].tolist()), fitted["toxic"].to_numpy(float))
-    return model
+def _tables(rows: DataFrame) -> Model:
+    """The model of labelled rows (text, toxic), without arrays and curve."""
+    words = rows.mapInArrow(_count_words, "key long, u0 long, u1 long, p0 long, p1 long").groupBy("key")
+    words = save(words.agg(*(F.sum(c).alias(c) for c in ("u0", "u1", "p0", "p1"))), "word-counts")
+    pairs = rows.mapInArrow(_count_pairs, "key long, h long, c0 long, c1 long").groupBy("key", "h")
+    pairs = pairs.agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).filter(F.greatest("c0", "c1") > PAIR_DISCOUNT)
+    pairs = save(pairs, "pair-counts")
+    left = lambda c, d: F.greatest(F.col(c) - d, F.lit(0))
+    totals = words.agg(*(F.sum(c).alias(c) for c in ("u0", "u1")), *(F.sum(left(c, WORD_DISCOUNT)).alias(f"own{c}") for c in ("u0", "u1"))).first()
+    n, own = (totals.u0, totals.u1), (totals.ownu0, totals.ownu1)
+    weight = max(sum(1 - a / max(b, 1) for a, b in zip(own, n)) / 2, 1e-3)
+    used = pairs.groupBy("h").agg(F.sum(left("c0", PAIR_DISCOUNT)).alias("used0"), F.sum(left("c1", PAIR_DISCOUNT)).alias("used1")).filter("used0 > 0 and used1 > 0")
+    used = used.join(words.select(F.col("key").alias("h"), "p0", "p1"), "h")
+    used = used.select("h", "used0", "used1", F.least(F.col("used0") / F.col("p0"), F.col("used1") / F.col("p1")).alias("lam"))
+    pairs = save(pairs.join(used, "h").select("key", *(F.col(c).cast("double").alias(c) for c in ("c0", "c1", "lam", "used0", "used1"))), "pair-model")
+    heavy = words.filter(F.greatest("u0", "u1") > min(PAIR_DISCOUNT, WORD_DISCOUNT))
+    heavy = save(heavy.select("key", *(F.col(c).cast("double").alias(c) for c in ("u0", "u1"))), "word-model")
+    return Model(heavy, pairs, weight, (max(own[0], 1), max(own[1], 1)), float(max(sum(n), 1)))
+
+
+def _loaded(model: Model) -> tuple[np.ndarray, ...]:
+    """Sorted keys and values of both tables, on the driver; called behind a count of their rows."""
+    out = []
+    for df in (model.words, model.pairs):
+        t = df.toArrow()
+        cols = [t.column(c).to_numpy() for c in df.columns]
+        cols[0] = cols[0].view(np.uint64)
+        order = np.argsort(cols[0])
+        out += [c[order] for c in cols]
+    return tuple(out)
+
+
+TOKEN = "word long, pair long, n long, per long"
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, rid, own) to distinct pairs of each text: rid, own, word, pair, n (times), per (pairs of the text ending with the word)."""
+    for b in batches:
+        rid, at = b.column(1).to_numpy(), 0
+        own = b.column(2).fill_null(-1).to_numpy()
+        for c in chunks_of(b.column(0).cast(pa.binary()).to_pylist()):
+            _, group, per = np.unique(mix64(c.word ^ c.text.astype(np.uint64), 34), return_inverse=True, return_counts=True)
+            cols = [rid[at : at + c.size][c.text], own[at : at + c.size][c.text], c.word.view(np.int64), c.pair.view(np.int64), c.times, per[group]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["rid", "own", "word", "pair", "n", "per"])
+            at += c.size
+
+
+def joined_features(rows: DataFrame, model: Model) -> DataFrame:
+    """rid, f (features) of rows (text, rid, own) that have words, by joins with the counted tables.
+
+    Frequent words make large join groups on the side of the texts only, which adaptive execution may split.
+    """
+    tokens = rows.select("text", "rid", "own").mapInArrow(_tokens, f"rid long, own long, {TOKEN}")
+    j = tokens.join(model.pairs.withColumnRenamed("key", "pair"), "pair", "left").join(model.words.withColumnRenamed("key", "word"), "word", "left").na.fill(0.0)
+    mine = lambda k: F.when(F.col("own") == k, 1).otherwise(0)
+    u = [F.greatest(F.col(f"u{k}") - mine(k) * F.col("per"), F.lit(0.0)) for k in (0, 1)]
+    c = [F.col(f"c{k}") - mine(k) for k in (0, 1)]
+    most = lambda x, y: F.greatest(x, F.lit(float(y)))
+    r = model.ratio(u, c, F.col("lam"), (F.col("used0"), F.col("used1")), F.ln, most)
+    above = lambda x: F.greatest(x - 1, F.lit(0.0))
+    per = j.select("rid", "word", "n", r.alias("r")).groupBy("rid", "word").agg(
+        F.max("r").alias("best"), F.sum(F.col("r") * F.col("n")).alias("s"), F.sum(above(F.col("r")) * F.col("n")).alias("a"), F.sum("n").alias("n")
+    )
+    top = F.slice(F.concat(F.slice(F.sort_array(F.collect_list("best"), False), 1, 3), F.array_repeat(F.lit(0.0), 3)), 1, 3)
+    n = F.sum("n")
+    return per.groupBy("rid").agg(
+        F.concat(F.array(F.sum("s") / n, F.avg("best")), top, F.array(F.sum(above(F.col("best"))), F.sum("a") / n, F.log1p(n.cast("double")))).alias("f")
+    )
 
 
 def _features(box):
     @arrow_udf("array<double>")
-    def features(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def features(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         model = box.value
-        index = _once(model.key, lambda: {w: i + 2 for i, w in enumerate(model.vocabulary)})
-        for texts in parts:
-            yield pa.array([model.features(raw, index) for raw in texts.cast(pa.binary()).to_pylist()], pa.list_(pa.float64()))
+        for texts, own in parts:
+            x = model.features(texts.cast(pa.binary()).to_pylist(), own.to_numpy())
+            yield pa.array(list(x), pa.list_(pa.float64()))
 
     return features
 
 
-def score_column(spark, model: Model | float):
-    """A function from a text column to its toxicity score (0 to 1)."""
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_broadcast: int = MODEL_ROWS) -> Model | float:
+    """The model of all labelled rows that are not held out; a bare share of toxic texts if a class is missing."""
+    spark = docs.sparkSession
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
+    rows = docs.select("doc_id", "text").join(maybe_broadcast(known, 2_000_000), "doc_id").select("text", "toxic", "doc_id")
+    total, toxic = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    if not toxic or toxic == total:
+        return toxic / total if toxic else 0.0
+    model = _tables(rows.select("text", "toxic"))
+    share = [min(1.0, fit_rows / 2 / n) for n in (total - toxic, toxic)]
+    dice = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    sample = rows.filter(dice < F.when(F.col("toxic") == 1, int(1e6 * share[1])).otherwise(int(1e6 * share[0])))
+    if small_enough(model.words.select("key").unionByName(model.pairs.select("key")), max_broadcast):
+        model.arrays = _loaded(model)
+        fitted = sample.select(_features(spark.sparkContext.broadcast(model))("text", "toxic").alias("f"), "toxic").toPandas()
+    else:
+        sample = save(sample.select("text", F.col("toxic").alias("own"), F.monotonically_increasing_id().alias("rid")), "fit-sample")
+        found = sample.select("rid", "own").join(joined_features(sample, model), "rid", "left")
+        fitted = found.select(F.coalesce("f", F.array_repeat(F.lit(0.0), FEATURES)).alias("f"), F.col("own").alias("toxic")).toPandas()
+    y = fitted["toxic"].to_numpy(float)
+    model.curve = fit_curve(np.array(fitted["f"].tolist()).reshape(-1, FEATURES), y, np.where(y == 1, 1 / share[1], 1 / share[0]))
+    return model
+
+
+def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_broadcast: int = MODEL_ROWS) -> DataFrame:
+    """row (struct of a row of docs), score."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    model = train(docs, labels, fit_rows, max_broadcast)
     if isinstance(model, float):
-        return lambda text: F.lit(model)
-    box = spark.sparkContext.broadcast(model)
+        return rows.withColumn("score", F.lit(model))
+    box = docs.sparkSession.sparkContext.broadcast(model)
+    if model.arrays is None:
+        rows = save(rows.withColumn("rid", F.monotonically_increasing_id()), "texts")
+        found = joined_features(rows.select("row.text", "rid", F.lit(None).cast("long").alias("own")), model)
+        rows = rows.join(found, "rid", "left").select("row", F.coalesce("f", F.array_repeat(F.lit(0.0), FEATURES)).alias("f"))
 
     @arrow_udf("double")
     def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = box.value
-        index = _once(model.key, lambda: {w: i + 2 for i, w in enumerate(model.vocabulary)})
-        for texts in parts:
-            x = np.array([model.features(raw, index) for raw in texts.cast(pa.binary()).to_pylist()])
-            yield pa.array(model.score(x) if len(x) else [], pa.float64())
+        for cells in parts:
+            if model.arrays is None:
+                x = np.array(cells.to_pylist()).reshape(-1, FEATURES)
+            else:
+                x = model.features(cells.cast(pa.binary()).to_pylist())
+            yield pa.array(model.score(x), pa.float64())
 
-    return lambda text: score(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    return rows.select("row", score(F.col("f") if model.arrays is None else F.coalesce("row.text", F.lit(""))).alias("score"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, max_broadcast: int = MODEL_ROWS) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted."""
-    score = score_column(docs.sparkSession, train(docs, labels))
-    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score("text").alias("score"))
-    return scored.withColumn("predicted", F.when(F.col("score") >= REJECT_AT, 1).otherwise(0))
+    out = scored(docs, labels, max_broadcast=max_broadcast)
+    out = out.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score")
+    return out.withColumn("predicted", F.when(F.col("score") >= REJECT_AT, 1).otherwise(0))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that score below REJECT_AT, with the columns of docs."""
-    score = score_column(docs.sparkSession, train(docs, labels))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), score(docs["text"]).alias("score"))
-    return rows.filter(F.col("score") < REJECT_AT).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return scored(docs, labels).filter(F.col("score") < REJECT_AT).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import queries as q
+from marlstone.llm import queries as q, toxicity as tox
 from marlstone.llm._common import LOWER_ALNUM
 from marlstone.llm.minhash_dedup import banding, near_duplicates, superminhash
 from oracle import SF, same
@@ -90,14 +90,79 @@ def test_passages_of_fifty_words(spark, words):
 
 
 def test_toxic_held_out(spark):
-    """A bound against regressions, not a goal: 65 of the 74 clear held-out texts are found at this scale, whose labels are noisy."""
+    """All held-out labels, about 5 % of which are wrong in the table: 132 of 144 toxic and 1 of 1,200 ordinary ones are predicted."""
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    rude = F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"\b(idiot|worthless|pathetic|moron|disgusting|clown|stupid|loser|trash|scum)\b"), F.lit(1)))
-    texts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", rude.alias("rude"))
-    got = q.op1_toxicity(spark, sf).join(labels, "doc_id").join(texts, "doc_id").filter("held_out").collect()
-    toxic, ordinary = [r for r in got if r.toxic == 1 and r.rude > 1], [r for r in got if r.toxic == 0]
-    assert sum(r.predicted for r in toxic) > 0.8 * len(toxic) and sum(r.predicted for r in ordinary) < 0.01 * len(ordinary)
+    got = q.op1_toxicity(spark, sf).join(labels, "doc_id").filter("held_out").collect()
+    toxic, ordinary = [r for r in got if r.toxic == 1], [r for r in got if r.toxic == 0]
+    assert sum(r.predicted for r in toxic) > 0.85 * len(toxic) and sum(r.predicted for r in ordinary) < 0.01 * len(ordinary)
+
+
+def plain_totals(u, c):
+    """Discounted pairs after each word, all words, discounted words of each class, and the weight of the shared distribution."""
+    used = [collections.Counter() for _ in "01"]
+    for k in (0, 1):
+        for (h, _), n in c[k].items():
+            used[k][h] += max(n - tox.PAIR_DISCOUNT, 0)
+    mass = [sum(x.values()) for x in u]
+    left = [max(sum(max(n - tox.WORD_DISCOUNT, 0) for n in x.values()), 1) for x in u]
+    return used, mass, left, sum(1 - sum(max(n - tox.WORD_DISCOUNT, 0) for n in u[k].values()) / mass[k] for k in (0, 1)) / 2
+
+
+def plain_features(pairs, totals, u, c, h_pairs, own=None):
+    """The features of one text from plain counters (per class: texts of each pair, pairs ending and beginning with each word)."""
+    import math
+
+    used, mass, left, weight = totals
+    ends = collections.Counter(w for _, w in set(pairs))
+    best, total, above = {}, 0.0, 0.0
+    for h, w in pairs:
+        mine = [int(own == k) for k in (0, 1)]
+        n = [max(u[k][w] - mine[k] * ends[w], 0) for k in (0, 1)]
+        if max(u[0][w], u[1][w]) <= tox.PAIR_DISCOUNT:
+            n = [0, 0]
+        lam = min(used[k][h] / h_pairs[k][h] if used[k][h] else 0 for k in (0, 1))
+        lam = lam if max(c[k][h, w] for k in (0, 1)) > tox.PAIR_DISCOUNT else 0
+        p = []
+        for k in (0, 1):
+            low = (1 - weight) * max(n[k] - tox.WORD_DISCOUNT, 0) / left[k] + weight * (n[0] + n[1] + 0.5) / sum(mass)
+            p.append(lam * max(c[k][h, w] - mine[k] - tox.PAIR_DISCOUNT, 0) / max(used[k][h], 1) + (1 - lam) * low)
+        r = math.log(p[1]) - math.log(p[0])
+        best[w] = max(best.get(w, -math.inf), r)
+        total, above = total + r, above + max(r - 1, 0)
+    if not pairs:
+        return [0.0] * tox.FEATURES
+    top = (sorted(best.values(), reverse=True)[:3] + [0.0] * 3)[:3]
+    return [total / len(pairs), sum(best.values()) / len(best), *top, sum(max(x - 1, 0) for x in best.values()), above / len(pairs), math.log1p(len(pairs))]
+
+
+@pytest.mark.parametrize("own", [None, 0, 1])
+def test_toxicity_features(spark, docs, own):
+    """Both ways of scoring against plain counters, with and without a text's own counts; labels are made up so that classes overlap."""
+    import numpy as np
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    label = lambda i: int(i % 3 == 0)
+    split = lambda t: [w for w in tox.spaced(t.encode(), tox.LETTERS).split()]
+    all_pairs = {i: [(h, w) for h, w in zip([None, *split(t)], split(t))] for i, t in texts.items()}
+    u, c, h_pairs = ([collections.Counter() for _ in "01"] for _ in range(3))
+    for i, pairs in all_pairs.items():
+        for h, w in set(pairs):
+            u[label(i)][w] += 1
+            h_pairs[label(i)][h] += 1
+            c[label(i)][h, w] += 1
+    totals = plain_totals(u, c)
+    rows = docs.select("text", (F.col("doc_id") % 3 == 0).cast("long").alias("toxic"), "doc_id")
+    model = tox._tables(rows.select("text", "toxic"))
+    joined = tox.joined_features(rows.select("text", F.col("doc_id").alias("rid"), F.lit(own).cast("long").alias("own")), model)
+    joined = {r.rid: r.f for r in joined.collect()}
+    model.arrays = tox._loaded(model)
+    ids = sorted(texts)
+    got = model.features([texts[i].encode() for i in ids], None if own is None else np.full(len(ids), own))
+    for i, f in zip(ids, got):
+        want = plain_features(all_pairs[i], totals, u, c, h_pairs, own)
+        assert np.allclose(f, want), i
+        assert np.allclose(joined.get(i, [0.0] * tox.FEATURES), want)
 
 
 def test_personal_data(spark):
