@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import struct
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -17,6 +19,21 @@ MIN_MATCH, LAST_LITERALS, MATCH_LIMIT = 4, 5, 12
 _codecs: dict[int, pa.Codec] = {}
 
 
+#: Fixed value: the text that opens each generated buffer.
+GENERATOR_TEXT = b"Hello World! This is LZ4 benchmark data. "
+
+
+def generated(n: int, seed: int = 12345) -> bytes:
+    """n bytes: the low bytes of x -> (double(x) * 1103515245 + 12345) & 0x7FFFFFFF, the first 4,096 overlaid by a repeated text."""
+    out, x = bytearray(n), seed
+    for i in range(n):
+        x = int(float(x) * 1103515245.0 + 12345.0) & 0x7FFFFFFF
+        out[i] = x & 255
+    head = min(n, 4096)
+    out[:head] = (GENERATOR_TEXT * (head // len(GENERATOR_TEXT) + 1))[:head]
+    return bytes(out)
+
+
 def bound(n: int) -> int:
     """Largest size a block of n bytes can take."""
     return 0 if n > 0x7E000000 else n + n // 255 + 16
@@ -50,15 +67,23 @@ def _emit(out: bytearray, literals: bytes, match: int = 0, offset: int = 0) -> N
             out += _length(m - 15)
 
 
+@lru_cache(4)
+def _places(prefix: bytes) -> dict[bytes, int]:
+    """The last place of each four bytes of a dictionary; made once a worker."""
+    return {prefix[i : i + 4]: i for i in range(len(prefix) - 3)}
+
+
 def _greedy(src: bytes, step: int, prefix: bytes) -> bytes:
     """One candidate for each four bytes, misses skipped by `step`; matches may reach into the prefix."""
     data, base = prefix + src, len(prefix)
-    table = {data[i : i + 4]: i for i in range(max(0, base - 3))}
+    before, table = _places(prefix), {}
     end, out = len(data), bytearray()
     i = anchor = base
     while i <= end - MATCH_LIMIT:
         key = data[i : i + 4]
         at = table.get(key)
+        if at is None:
+            at = before.get(key)
         table[key] = i
         if at is None or i - at > WINDOW:
             i += step
@@ -79,6 +104,30 @@ def _greedy(src: bytes, step: int, prefix: bytes) -> bytes:
     return bytes(out)
 
 
+def stored(raw: bytes, o) -> bytes:
+    """Size word, data and optional checksum of a block: packed, or raw with bit 31 set where packing does not help."""
+    data = encode_block(raw, o.search_level, o.dictionary)
+    word = len(data)
+    if word >= len(raw):
+        data, word = raw, len(raw) | 1 << 31
+    check = struct.pack("<I", xxhash.xxh32_intdigest(data)) if o.block_checksum else b""
+    return struct.pack("<I", word) + data + check
+
+
+def frame_of(raw: bytes, o) -> bytes:
+    """The frame of a cell, block by block."""
+    flg = 64 | o.independent << 5 | o.block_checksum << 4 | o.content_size << 3 | o.content_checksum << 2 | bool(o.dict_id)
+    head = bytes([flg, o.block_size_id << 4])
+    if o.content_size:
+        head += struct.pack("<Q", len(raw))
+    if o.dict_id:
+        head += struct.pack("<I", o.dict_id)
+    check = struct.pack("<I", xxhash.xxh32_intdigest(raw)) if o.content_checksum else b""
+    own = bytes([xxhash.xxh32_intdigest(head) >> 8 & 255])
+    body = b"".join(stored(raw[i : i + o.block_size], o) for i in range(0, len(raw), o.block_size))
+    return struct.pack("<I", FRAME_MAGIC) + head + own + body + bytes(4) + check
+
+
 def sequences_of(src: bytes) -> list[tuple[int, int, int]]:
     """(literal length, match offset, match length) of each sequence; what a truncated tail still tells included."""
     out, i, n = [], 0, len(src)
@@ -254,9 +303,49 @@ def decode_frame(src: bytes, f: dict, dictionary: bytes = b"") -> tuple[bytes, s
     return b"".join(parts), error
 
 
+def _ustar(name: bytes, prefix: bytes, size: int, mtime: int, kind: bytes) -> bytes:
+    fields = [name.ljust(100, b"\0"), b"0000644\0", b"0000000\0" * 2, b"%011o\0" % size, b"%011o\0" % mtime]
+    tail = [kind, bytes(100), b"ustar\x0000", bytes(64), b"0000000\0" * 2, prefix.ljust(155, b"\0"), bytes(12)]
+    before, after = b"".join(fields), b"".join(tail)
+    return before + b"%06o\0 " % (sum(before) + sum(after) + 8 * 32) + after
+
+
+def tar_header(name: str, size: int, mtime: int, kind: str) -> bytes:
+    """512 bytes; a name over 100 bytes is split at the last slash that leaves at most 155 and 100 bytes, or else told in a pax record."""
+    raw = name.encode()
+    own, prefix, record = raw, b"", b""
+    if len(raw) > 100:
+        cut = raw[:156].rfind(b"/")
+        if cut > 0 and 0 < len(raw) - cut - 1 <= 100:
+            prefix, own = raw[:cut], raw[cut + 1 :]
+        else:
+            line = b" path=" + raw + b"\n"
+            n = len(line) + len(str(len(line)))
+            n = len(line) + len(str(n))
+            body = str(n).encode() + line
+            record = _ustar(b"pax_header", b"", len(body), mtime, b"x") + body.ljust(-(-len(body) // 512) * 512, b"\0")
+            own = raw[:100]
+    return record + _ustar(own, prefix, size, mtime, kind.encode())
+
+
+def _pax_path(body: bytes) -> str | None:
+    """The last path record of a pax header."""
+    found = None
+    while m := re.match(rb"(\d{1,9}) ", body):
+        n = int(m[1])
+        key, _, value = body[m.end() : n].partition(b"=")
+        if key == b"path":
+            found = value[:-1].decode("utf-8", "replace")
+        body = body[max(n, 1) :]
+    return found
+
+
 def tar_entries_of(src: bytes) -> list[dict]:
-    """Entries of a UStar archive up to the first zero block; the data of every entry is skipped by its size."""
-    out, pos = [], 0
+    """Entries of a tar archive up to the first zero block; the data of every entry is skipped by its size.
+
+    Pax and GNU long names apply to the entry that follows them; their own entries are not returned.
+    """
+    out, pos, long_name = [], 0, None
     text = lambda a, n: src[pos + a : pos + a + n].split(b"\0")[0].decode("utf-8", "replace")
     while pos + 512 <= len(src):
         head = src[pos : pos + 512]
@@ -265,16 +354,20 @@ def tar_entries_of(src: bytes) -> list[dict]:
         octal = lambda a, n: int((text(a, n).strip() or "0"), 8) if not set(text(a, n).strip()) - set("01234567") else 0
         size, prefix = octal(124, 12), text(345, 155) if head[257:262] == b"ustar" else ""
         name, kind = text(0, 100), chr(head[156]) if head[156] else "0"
-        spaced = sum(head[:148]) + sum(head[156:]) + 8 * 32
-        out.append(
-            {
-                "name": (f"{prefix}/{name}" if prefix else name).rstrip("/"),
-                "type": kind,
-                "size": size,
-                "mtime": octal(136, 12),
-                "checksum_valid": octal(148, 8) == spaced,
-                "data": src[pos + 512 : pos + 512 + size] if size and kind == "0" else b"",
-            }
-        )
+        body = src[pos + 512 : pos + 512 + size]
+        if kind in "xL":
+            long_name = (_pax_path(body) if kind == "x" else body.split(b"\0")[0].decode("utf-8", "replace")) or long_name
+        elif kind != "g":
+            out.append(
+                {
+                    "name": (long_name or (f"{prefix}/{name}" if prefix else name)).rstrip("/"),
+                    "type": kind,
+                    "size": size,
+                    "mtime": octal(136, 12),
+                    "checksum_valid": octal(148, 8) == sum(head[:148]) + sum(head[156:]) + 8 * 32,
+                    "data": body if size and kind == "0" else b"",
+                }
+            )
+            long_name = None
         pos += 512 + -(-size // 512) * 512
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -32,6 +33,18 @@ def block_compress(col, level: int = 1, dictionary: bytes = b"") -> Column:
     return _map("binary", pa.binary(), lambda b: _bytes.encode_block(b, level, dictionary))(col)
 
 
+def frame_cell(col, options) -> Column:
+    """A whole frame of a cell (frame settings as in the plans), null for null."""
+    o = options
+    return _map("binary", pa.binary(), lambda b: _bytes.frame_of(b, o))(col)
+
+
+def frame_block(col, options) -> Column:
+    """A block of a frame as it is stored: size word, data (raw where packing does not help), checksum if asked for."""
+    o = options
+    return _map("binary", pa.binary(), lambda b: _bytes.stored(b, o))(col)
+
+
 def _block(raw: bytes, size: int, dictionary: bytes) -> dict:
     data, error = _bytes.decode_block(raw, size + 1, dictionary)
     if len(data) > size:
@@ -58,13 +71,16 @@ _DECODED = pa.struct(
 )
 
 
-def _decode(b: bytes, dictionary: bytes, first_only: bool) -> dict:
+def _decode(b: bytes, dictionary: bytes, first_only: bool, dict_id: int = 0) -> dict:
     frames = _bytes.walk(b)
     if first_only:
         frames = frames[:1]
     parts, valid, error = [], None, None
     for f in frames:
-        data, wrong = _bytes.decode_frame(b, f, dictionary)
+        if dict_id and f.get("dict_id", dict_id) != dict_id:
+            data, wrong = b"", f"Dictionary id {f['dict_id']}, not {dict_id}"
+        else:
+            data, wrong = _bytes.decode_frame(b, f, dictionary)
         if "content_checksum" in f and not wrong:
             ok = xxhash.xxh32_intdigest(data) == f["content_checksum"]
             valid = ok if valid is None else valid and ok
@@ -76,9 +92,36 @@ def _decode(b: bytes, dictionary: bytes, first_only: bool) -> dict:
     }
 
 
-def frame_decompress(col, dictionary: bytes = b"", first_only: bool = False) -> Column:
-    """Content of all frames of a cell (or of its first one) with checks; damage is told in `error`, never raised."""
-    return _map(DECODED, _DECODED, lambda b: _decode(b, dictionary, first_only))(col)
+def frame_decompress(col, dictionary: bytes = b"", first_only: bool = False, dict_id: int = 0) -> Column:
+    """Content of all frames of a cell (or of its first one) with checks; damage is told in `error`, never raised.
+
+    With dict_id, a frame that names another dictionary is an error.
+    """
+    return _map(DECODED, _DECODED, lambda b: _decode(b, dictionary, first_only, dict_id))(col)
+
+
+def has_linked_blocks(col) -> Column:
+    """Whether a cell has a frame of several blocks that need the ones before them."""
+    linked = lambda f: f["type"] == "standard" and not f.get("flg", 32) & 32 and len(f["blocks"]) > 1
+    return _map("boolean", pa.bool_(), lambda b: any(map(linked, _bytes.walk(b))))(col)
+
+
+TIMED = "struct<original_size:bigint,compressed_size:bigint,compress_ms:double,decompress_ms:double,intact:boolean>"
+_TIMED = pa.struct([("original_size", pa.int64()), ("compressed_size", pa.int64()), ("compress_ms", pa.float64()), ("decompress_ms", pa.float64()), ("intact", pa.bool_())])
+
+
+def timed_cell(col, options) -> Column:
+    """Sizes and times of one cell, compressed and decompressed as a frame."""
+
+    def cell(b: bytes) -> dict:
+        began = time.perf_counter()
+        frame = _bytes.frame_of(b, options)
+        middle = time.perf_counter()
+        back = _decode(frame, options.dictionary, True)["data"]
+        done = time.perf_counter()
+        return {"original_size": len(b), "compressed_size": len(frame), "compress_ms": 1e3 * (middle - began), "decompress_ms": 1e3 * (done - middle), "intact": back == b}
+
+    return _map(TIMED, _TIMED, cell)(col)
 
 
 SEQUENCES = "array<struct<literal_length:bigint,match_offset:bigint,match_length:bigint>>"
@@ -113,6 +156,27 @@ def walk_frames(col) -> Column:
     return _map(WALKED, _WALKED, lambda b: [{"blocks": []} | f for f in _bytes.walk(b)])(col)
 
 
+def generated(col, seed: int = 12345) -> Column:
+    """Buffers of the benchmark generator, of as many bytes as col says."""
+
+    def run(sizes: pa.Array) -> pa.Array:
+        return pa.array([None if n is None else _bytes.generated(n, seed) for n in sizes.to_pylist()], pa.binary())
+
+    run.__annotations__ = {"sizes": pa.Array, "return": pa.Array}
+    return arrow_udf(run, "binary")((F.col(col) if isinstance(col, str) else col).cast("long"))
+
+
+def tar_header(name: Column, size: Column, mtime: Column, kind: Column) -> Column:
+    """Header of a tar entry, with a pax record before it where the name does not fit."""
+
+    def run(names: pa.Array, sizes: pa.Array, times: pa.Array, kinds: pa.Array) -> pa.Array:
+        cells = zip(*(a.to_pylist() for a in (names, sizes, times, kinds)))
+        return pa.array([None if None in c else _bytes.tar_header(*c) for c in cells], pa.binary())
+
+    run.__annotations__ = {n: pa.Array for n in ("names", "sizes", "times", "kinds", "return")}
+    return arrow_udf(run, "binary")(name, size.cast("long"), mtime.cast("long"), kind)
+
+
 TAR = "array<struct<name:string,type:string,size:bigint,mtime:bigint,checksum_valid:boolean,data:binary>>"
 _TAR = pa.list_(pa.struct([("name", pa.string()), ("type", pa.string()), ("size", pa.int64()), ("mtime", pa.int64()), ("checksum_valid", pa.bool_()), ("data", pa.binary())]))
 

@@ -13,7 +13,7 @@ from ._bytes import BLOCK_SIZES
 P1, P2, P3, P4, P5 = 2654435761, 2246822519, 3266489917, 668265263, 374761393
 M32 = 0xFFFFFFFF
 #: Label of each block size id, searches and target length of each high-compression level.
-BLOCK_LABELS = {4: "64 KB", 5: "256 KB", 6: "1 MB", 7: "4 MB"}
+BLOCK_LABELS = {0: "Default(64KB)", 4: "64 KB", 5: "256 KB", 6: "1 MB", 7: "4 MB"}
 LEVELS = {
     2: (2, 16), 3: (4, 16), 4: (8, 16), 5: (16, 16), 6: (32, 16), 7: (64, 16), 8: (128, 16), 9: (256, 16), 10: (96, 64), 11: (512, 128), 12: (16384, 4096),
 }
@@ -162,7 +162,7 @@ def output_name(name, compress: bool) -> Column:
 
 def block_size_label(block_size_id) -> Column:
     pairs = [F.lit(x) for kv in BLOCK_LABELS.items() for x in kv]
-    return F.create_map(*pairs)[_c(block_size_id)]
+    return F.try_element_at(F.create_map(*pairs), _c(block_size_id))
 
 
 def block_max_size(block_size_id) -> Column:
@@ -182,15 +182,3 @@ def hex_literal(text) -> Column:
 
 def is_tar(data) -> Column:
     return (F.octet_length(_c(data)) > 263) & (F.hex(F.substring(_c(data), 258, 5)) == F.lit("7573746172"))
-
-
-def lcg_bytes(n: int, seed: int = 12345) -> Column:
-    """Array of n bytes of the generator x -> (double(x) * 1103515245 + 12345) & 0x7FFFFFFF, high byte of 16 low bits."""
-    step = lambda x: ((x.cast("double") * F.lit(1103515245.0) + F.lit(12345.0)).cast("long")).bitwiseAND(F.lit(0x7FFFFFFF))
-    start = F.struct(F.lit(seed).cast("long").alias("x"), F.array().cast("array<bigint>").alias("out"))
-
-    def grow(acc, _):
-        x = step(acc["x"])
-        return F.struct(x.alias("x"), F.concat(acc["out"], F.array(F.shiftright(x, 16).bitwiseAND(F.lit(255)))).alias("out"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, grow)["out"]

@@ -1,46 +1,10 @@
-"""UStar archives as DataFrames: headers in expressions, packing as an ordered aggregation, unpacking as rows."""
+"""Tar archives as DataFrames: one Arrow function for headers, packing as an ordered aggregation, unpacking as rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions import codecs, columns as C
-
-
-def _field(c: Column, width: int) -> Column:
-    """Bytes of c, padded with NULs or cut to width."""
-    raw = F.substring(c.cast("binary"), F.lit(1), F.lit(width))
-    return F.rpad(raw, width, F.unhex(F.lit("00")))
-
-
-def split_name(name) -> tuple[Column, Column]:
-    """(prefix, name) of UStar: names over 100 bytes are split at the last slash that leaves at most 155 and 100 bytes."""
-    name = F.col(name) if isinstance(name, str) else name
-    long_ = F.octet_length(name) > 100
-    head = F.regexp_extract(F.substring(name, F.lit(1), F.lit(156)), "^(.*)/", 1)
-    rest = F.substring(name, F.char_length(head) + 2, F.lit(2**31 - 1))
-    fits = long_ & (head != "") & (F.octet_length(rest) <= 100)
-    return F.when(fits, head).otherwise(""), F.when(fits, rest).otherwise(name)
-
-
-def header(name, size, mtime, kind) -> Column:
-    """512 bytes. The checksum sums all bytes with its own field as blanks."""
-    prefix, own = split_name(name)
-    size, mtime, kind = (F.col(x) if isinstance(x, str) else x for x in (size, mtime, kind))
-    blanks = F.encode(F.lit(" " * 8), "utf-8")
-    before = F.concat(
-        _field(own, 100), C.octal(F.lit(0o644), 8), C.octal(F.lit(0), 8), C.octal(F.lit(0), 8), C.octal(size, 12), C.octal(mtime, 12)
-    )
-    after = F.concat(
-        kind.cast("binary"), _field(F.lit(""), 100), F.unhex(F.lit("757374617200")), F.encode(F.lit("00"), "utf-8"),
-        _field(F.lit(""), 64), C.octal(F.lit(0), 8), C.octal(F.lit(0), 8), _field(prefix, 155), _field(F.lit(""), 12),
-    )
-    digits = F.hex(F.concat(before, blanks, after))
-    total = F.aggregate(
-        F.sequence(F.lit(1), F.lit(1023), F.lit(2)), F.lit(0).cast("long"), lambda a, i: a + F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("long")
-    )
-    check = F.concat(F.lpad(F.conv(total.cast("string"), 10, 8), 6, "0").cast("binary"), F.unhex(F.lit("0020")))
-    return F.concat(before, check, after)
+from ..functions import codecs
 
 
 def ancestors(df: DataFrame, group: str, name: str) -> DataFrame:
@@ -59,15 +23,24 @@ def pack(df: DataFrame, group: str, order: str, name: str, data: str, mtime: int
     files = df.select(group, F.lit(1).alias("part"), F.col(order).cast("long").alias("at"), F.col(name).alias("name"), F.col(data).cast("binary").alias("data"))
     dirs = ancestors(df, group, name).select(group, F.lit(0).alias("part"), F.lit(0).cast("long").alias("at"), "name", F.unhex(F.lit("")).alias("data"))
     rows = dirs.unionByName(files)
+    rows = rows.withColumn("data", F.coalesce("data", F.unhex(F.lit(""))))
     size = F.octet_length("data").cast("long")
     kind = F.when(F.col("part") == 0, "5").otherwise("0")
     padded = F.rpad(F.col("data"), F.ceil(size / 512).cast("int") * 512, F.unhex(F.lit("00")))
-    entry = F.concat(header("name", size, F.lit(mtime), kind), F.when(size > 0, padded).otherwise(F.unhex(F.lit(""))))
+    header = codecs.tar_header(F.col("name"), size, F.lit(mtime), kind)
+    entry = F.concat(header, F.when(size > 0, padded).otherwise(F.unhex(F.lit(""))))
     rows = rows.select(group, "part", "at", "name", entry.alias("entry"))
     body = F.expr("listagg(e.entry) WITHIN GROUP (ORDER BY e.part, e.at, e.name)")
     return rows.select(group, F.struct("part", "at", "name", "entry").alias("e")).groupBy(group).agg(F.concat(body, F.unhex(F.repeat(F.lit("00"), 1024))).alias("archive"))
 
 
+def archive_names(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """group, archive_name: the top folder of the first name of each group, or archive, with .tar.lz4."""
+    first = F.min_by(name, order)
+    top = F.when(first.contains("/"), F.substring_index(first, "/", 1))
+    return df.groupBy(group).agg(F.concat(F.coalesce(F.nullif(top, F.lit("")), F.lit("archive")), F.lit(".tar.lz4")).alias("archive_name"))
+
+
 def unpack(df: DataFrame, key: str, archive: str) -> DataFrame:
     """key, entry_index, name, type, size, mtime, checksum_valid, data of each entry."""
     rows = df.select(key, F.posexplode(codecs.tar_entries(archive)).alias("entry_index", "e"))

@@ -27,7 +27,13 @@ def query(sql: str | None = None):
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer partitions (small files of one row group); larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,7 +51,7 @@ def _shards(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _framed(spark, sf, options: FrameOptions = FrameOptions()) -> DataFrame:
-    return compress_frames(_docs(spark, sf), "doc_id", "content", options)
+    return compress_frames(_docs(spark, sf), "content", options)
 
 
 def _md5_back(frames: DataFrame, dictionary: bytes = b"") -> DataFrame:
@@ -56,8 +62,7 @@ def _md5_back(frames: DataFrame, dictionary: bytes = b"") -> DataFrame:
 @query("SELECT lang, count(*) AS n, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS n_bytes, CAST(0 AS BIGINT) AS n_errors FROM documents GROUP BY lang")
 def roundtrip_totals(spark, sf):
     """Documents -> frames -> content -> totals of each language."""
-    frames = _framed(spark, sf).select("doc_id", codecs.frame_decompress("frame").alias("d"))
-    rows = frames.join(_t(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    rows = _framed(spark, sf).select("lang", codecs.frame_decompress("frame").alias("d"))
     return rows.groupBy("lang").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("d.data")).cast("long").alias("n_bytes"), F.count_if(F.col("d.error").isNotNull()).alias("n_errors")
     )
@@ -109,7 +114,7 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
 def roundtrip_dictionary(spark, sf):
     """Small records with a dictionary."""
     rows = _records(spark, sf)
-    made = compress_frames(rows, "event_id", "content", FrameOptions(dictionary=DICTIONARY, content_checksum=False))
+    made = compress_frames(rows, "content", FrameOptions(dictionary=DICTIONARY, content_checksum=False))
     d = made.withColumn("d", codecs.frame_decompress("frame", DICTIONARY))
     return d.select("event_id", F.md5("d.data").alias("digest"), F.coalesce("d.error", F.lit("")).alias("error"))
 
@@ -137,37 +142,47 @@ _SHARD_SQL = _SHARD.format("doc_id // 200")
 SELECT shard, CAST(i AS BIGINT) AS block_index, least(65536, n - 65536 * i) AS original_size FROM (SELECT shard, n, unnest(range((n + 65535) // 65536)) AS i FROM l)""")
 def block_table(spark, sf):
     """Multi-block frames: parsed blocks with decoded sizes."""
-    made = compress_frames(_shards(spark, sf), "shard", "content")
+    made = compress_frames(_shards(spark, sf), "content")
     return fr.sized_blocks(made, "shard", "frame").select("shard", F.col("block_index").cast("long").alias("block_index"), "original_size")
 
 
 @query(f"SELECT {_SHARD_SQL} AS shard, md5(string_agg(coalesce(text, ''), '' ORDER BY doc_id)) AS digest, CAST((sum(strlen(coalesce(text, ''))) + 65535) // 65536 AS BIGINT) AS n_blocks, '' AS error FROM documents GROUP BY 1")
 def parallel_roundtrip(spark, sf):
     """Block-parallel compression and decompression."""
-    made = compress_frames(_shards(spark, sf), "shard", "content", FrameOptions(block_checksum=True))
-    d = decompress_blocks(made, "shard")
+    made = compress_frames(_shards(spark, sf), "content", FrameOptions(block_checksum=True))
+    d = decompress_blocks(made)
     return d.select("shard", F.md5("data").alias("digest"), "n_blocks", F.coalesce("error", F.lit("")).alias("error"))
 
 
 @query("SELECT doc_id, strlen(coalesce(text, '')) > 4096 AS large, md5(coalesce(text, '')) AS digest FROM documents")
 def size_routing(spark, sf):
     """Large cells go block by block over all tasks, small ones whole; one result."""
-    made = compress_frames(_docs(spark, sf), "doc_id", "content", split_over=4096)
+    made = compress_frames(_docs(spark, sf), "content", split_over=4096)
     return made.select("doc_id", (F.col("original_size") > 4096).alias("large"), F.md5(codecs.frame_decompress("frame")["data"]).alias("digest"))
 
 
-_XXH_NAMES = """WITH s AS (SELECT '{t}' AS tbl, {k} AS id, {k} AS name FROM {t}),
-b AS (SELECT id, hex(encode(name)) AS x, strlen(name) AS n FROM s WHERE strlen(name) < 16),
-w AS (SELECT id, n, list_transform(range(n // 4), lambda i: ('0x' || x[8*i+7:8*i+8] || x[8*i+5:8*i+6] || x[8*i+3:8*i+4] || x[8*i+1:8*i+2])::BIGINT) AS ws,
-  list_transform(range(4 * (n // 4), n), lambda i: ('0x' || x[2*i+1:2*i+2])::BIGINT) AS ts FROM b),
-h1 AS (SELECT id, ts, list_reduce(list_transform(ws, lambda x: x::HUGEINT), lambda a, x: ((((a + x * 3266489917) % 4294967296) * 131072 % 4294967296 + ((a + x * 3266489917) % 4294967296) // 32768) % 4294967296) * 668265263 % 4294967296, ((374761393 + n) % 4294967296)::HUGEINT) AS h FROM w),
-h2 AS (SELECT id, list_reduce(list_transform(ts, lambda x: x::HUGEINT), lambda a, x: ((((a + x * 374761393) % 4294967296) * 2048 % 4294967296 + ((a + x * 374761393) % 4294967296) // 2097152) % 4294967296) * 2654435761 % 4294967296, h) AS h FROM h1),
-h3 AS (SELECT id, (xor(h::BIGINT, h::BIGINT >> 15)::HUGEINT * 2246822519 % 4294967296)::BIGINT AS h FROM h2),
-h4 AS (SELECT id, (xor(h, h >> 13)::HUGEINT * 3266489917 % 4294967296)::BIGINT AS h FROM h3)
-SELECT id AS name, xor(h, h >> 16) AS native, xor(h, h >> 16) AS arrow FROM h4"""
-
-
-@query(_XXH_NAMES.format(t="nation", k="n_name"))
+def _xxh32_sql(source: str) -> str:
+    """SQL for (id, h): XXH32 of the hexadecimal texts x of n bytes in source (id, x, n), by the algorithm's definition."""
+    word = "('0x' || x[8*i+7:8*i+8] || x[8*i+5:8*i+6] || x[8*i+3:8*i+4] || x[8*i+1:8*i+2])::BIGINT::HUGEINT"
+    m, p1, p2, p3, p4, p5 = 4294967296, 2654435761, 2246822519, 3266489917, 668265263, 374761393
+    turned = lambda v, r: f"(({v}) % {m} * {1 << r} % {m} + ({v}) % {m} // {1 << 32 - r})"
+    starts = ((p1 + p2) % m, p2, 0, (m - p1) % m)
+    lanes = ", ".join(
+        f"list_reduce(list_transform(range(n // 16), lambda k: w[4 * k + {j + 1}]), lambda a, x: {turned(f'a + x * {p2}', 13)} * {p1} % {m}, {s}::HUGEINT) AS v{j}" for j, s in enumerate(starts)
+    )
+    joined = " + ".join(turned(f"v{j}", r) for j, r in enumerate((1, 7, 12, 18)))
+    return f"""WITH b AS ({source}),
+words AS (SELECT id, n, list_transform(range(n // 4), lambda i: {word}) AS w, list_transform(range(4 * (n // 4), n), lambda i: ('0x' || x[2*i+1:2*i+2])::BIGINT::HUGEINT) AS ts FROM b),
+lanes AS (SELECT *, {lanes} FROM words),
+h0 AS (SELECT id, ts, w[4 * (n // 16) + 1:] AS ws, ((CASE WHEN n < 16 THEN {p5} ELSE {joined} END + n) % {m})::HUGEINT AS h FROM lanes),
+h1 AS (SELECT id, ts, list_reduce(ws, lambda a, x: {turned(f"a + x * {p3}", 17)} % {m} * {p4} % {m}, h) AS h FROM h0),
+h2 AS (SELECT id, list_reduce(ts, lambda a, x: {turned(f"a + x * {p5}", 11)} % {m} * {p1} % {m}, h) AS h FROM h1),
+h3 AS (SELECT id, (xor(h::BIGINT, h::BIGINT >> 15)::HUGEINT * {p2} % {m})::BIGINT AS h FROM h2),
+h4 AS (SELECT id, (xor(h, h >> 13)::HUGEINT * {p3} % {m})::BIGINT AS h FROM h3)
+SELECT id, xor(h, h >> 16) AS h FROM h4"""
+
+
+@query(f"""SELECT id AS name, h AS native, h AS arrow FROM ({_xxh32_sql("SELECT n_name AS id, hex(encode(n_name)) AS x, strlen(n_name) AS n FROM nation WHERE strlen(n_name) < 16")})""")
 def xxh32_names(spark, sf):
     """XXH32 in expressions and as an Arrow function (H1-H3)."""
     names = _t(spark, sf, "nation").filter(F.octet_length("n_name") < 16)
@@ -175,9 +190,12 @@ def xxh32_names(spark, sf):
     return names.select(F.col("n_name").alias("name"), C.xxh32_short(data).alias("native"), codecs.xxh32(data).alias("arrow"))
 
 
-@query()
+_HEX = "SELECT doc_id AS id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents"
+
+
+@query(f"SELECT id AS doc_id, h AS xxh32 FROM ({_xxh32_sql(_HEX)})")
 def xxh32_documents(spark, sf):
-    """XXH32 of whole texts (H1, H6); checked against the codec library in tests."""
+    """XXH32 of whole texts (H1, H6)."""
     return _docs(spark, sf).select("doc_id", codecs.xxh32("content").alias("xxh32"))
 
 
@@ -204,16 +222,21 @@ def parsed_frames(spark, sf):
     )
 
 
-@query("""WITH f(field_index, name, "offset", size) AS (VALUES (0, 'magic', 0, 4), (1, 'flg', 4, 1), (2, 'bd', 5, 1), (3, 'content_size', 6, 8), (4, 'dict_id', 14, 4), (5, 'header_checksum', 18, 1))
+_SIZE_HEX = "array_to_string(list_transform(range(8), lambda i: printf('%02x', (CAST(strlen(coalesce(text, '')) AS BIGINT) >> (8 * i)) & 255)), '{}')"
+_DESCRIPTOR = f"SELECT doc_id AS id, upper('6d40' || {_SIZE_HEX.format('')} || '02010000') AS x, 14 AS n FROM documents"
+
+
+@query(f"""WITH f(field_index, name, "offset", size) AS (VALUES (0, 'magic', 0, 4), (1, 'flg', 4, 1), (2, 'bd', 5, 1), (3, 'content_size', 6, 8), (4, 'dict_id', 14, 4), (5, 'header_checksum', 18, 1)),
+c AS (SELECT id AS doc_id, (h >> 8) & 255 AS sum FROM ({_xxh32_sql(_DESCRIPTOR)}))
 SELECT doc_id, field_index, name, CAST("offset" AS BIGINT) AS "offset", size,
- CASE name WHEN 'magic' THEN 407708164 WHEN 'flg' THEN 109 WHEN 'bd' THEN 64 WHEN 'content_size' THEN CAST(strlen(coalesce(text, '')) AS BIGINT) WHEN 'dict_id' THEN 258 ELSE NULL END AS value,
- CASE name WHEN 'magic' THEN '04 22 4d 18' WHEN 'flg' THEN '6d' WHEN 'bd' THEN '40' WHEN 'dict_id' THEN '02 01 00 00' ELSE NULL END AS hex FROM documents, f""")
+ CASE name WHEN 'magic' THEN 407708164 WHEN 'flg' THEN 109 WHEN 'bd' THEN 64 WHEN 'content_size' THEN CAST(strlen(coalesce(text, '')) AS BIGINT) WHEN 'dict_id' THEN 258 ELSE sum END AS value,
+ CASE name WHEN 'magic' THEN '04 22 4d 18' WHEN 'flg' THEN '6d' WHEN 'bd' THEN '40' WHEN 'dict_id' THEN '02 01 00 00' WHEN 'content_size' THEN {_SIZE_HEX.format(' ')} ELSE printf('%02x', sum) END AS hex
+FROM documents JOIN c USING (doc_id), f""")
 def parsed_fields(spark, sf):
-    """Header fields in file order."""
+    """Header fields in file order."""
     made = _framed(spark, sf, FrameOptions(dict_id=258))
     rows = fr.frame_fields(fr.frames(made, "doc_id", "frame"), "doc_id")
-    value = F.when(F.col("name") != "header_checksum", F.col("value"))
-    return rows.select("doc_id", "field_index", "name", "offset", "size", value.alias("value"), F.when(~F.col("name").isin("header_checksum", "content_size"), F.col("hex")).alias("hex"))
+    return rows.select("doc_id", "field_index", "name", "offset", "size", "value", "hex")
 
 
 @query("""SELECT doc_id, byte, name, bits, value FROM documents, (VALUES ('FLG', 'version', '7-6', 1), ('FLG', 'block_independent', '5', 1), ('FLG', 'block_checksum', '4', 0), ('FLG', 'content_size', '3', 1),
@@ -260,7 +283,7 @@ def skippable_frames(spark, sf):
 @query("SELECT doc_id, md5(coalesce(text, '')) AS digest, 'legacy' AS type, CAST((strlen(coalesce(text, '')) + 8388607) // 8388608 AS BIGINT) AS n_blocks FROM documents")
 def legacy_roundtrip(spark, sf):
     """Legacy frames."""
-    made = compress_legacy(_docs(spark, sf), "doc_id", "content")
+    made = compress_legacy(_docs(spark, sf), "content")
     d = made.select("doc_id", F.md5(codecs.frame_decompress("frame")["data"]).alias("digest"), codecs.walk_frames("frame")[0].alias("f"))
     return d.select("doc_id", "digest", "f.type", F.size("f.blocks").cast("long").alias("n_blocks"))
 
@@ -272,11 +295,11 @@ def literal_blocks(spark, sf):
     return rows.select("n_name", F.lower(F.hex("b")).alias("block"), codecs.block_decompress("b")["data"].cast("string").alias("back"))
 
 
-@query("SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS covered FROM documents WHERE strlen(coalesce(text, '')) > 64")
+@query("SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS covered FROM documents")
 def sequence_cover(spark, sf):
     """The literals and matches of the sequences of a block cover its text (L3, sequences table)."""
-    rows = _docs(spark, sf).filter(F.octet_length("content") > 64).select("doc_id", F.inline(codecs.block_sequences(codecs.block_compress("content"))))
-    return rows.groupBy("doc_id").agg(F.sum(F.col("literal_length") + F.col("match_length")).alias("covered"))
+    rows = _docs(spark, sf).select("doc_id", F.inline_outer(codecs.block_sequences(codecs.block_compress("content"))))
+    return rows.groupBy("doc_id").agg(F.sum(F.coalesce(F.col("literal_length") + F.col("match_length"), F.lit(0))).alias("covered"))
 
 
 @query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'OK' ELSE 'FAIL' END AS status, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'Truncated frame descriptor' WHEN 2 THEN 'Truncated content checksum' ELSE 'Content checksum mismatch' END AS error FROM documents""")
@@ -291,11 +314,13 @@ def integrity_test(spark, sf):
     return rows.select("doc_id", "status", F.coalesce("error", F.lit("")).alias("error"))
 
 
-@query("""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents WHERE coalesce(text, '') <> '')
-SELECT doc_id, CAST(o AS INTEGER) AS "offset", lower(trim(regexp_replace(x[2*o+1:least(2*o+32, 512)], '(..)', '\\1 ', 'g'))) AS hex FROM (SELECT doc_id, x, unnest(range(0, least(length(x) // 2, 256), 16)) AS o FROM d)""".replace("\\\\", "\\"))
+@query(r"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents WHERE coalesce(text, '') <> ''),
+r AS (SELECT doc_id, o, x[2*o+1:least(2*o+32, 512)] AS h FROM (SELECT doc_id, x, unnest(range(0, least(length(x) // 2, 256), 16)) AS o FROM d))
+SELECT doc_id, CAST(o AS INTEGER) AS "offset", lower(trim(regexp_replace(h, '(..)', '\1 ', 'g'))) AS hex,
+ array_to_string(list_transform(range(length(h) // 2), lambda i: CASE WHEN ('0x' || h[2*i+1:2*i+2])::INT BETWEEN 32 AND 126 THEN chr(('0x' || h[2*i+1:2*i+2])::INT) ELSE '.' END), '') AS ascii FROM r""")
 def hex_dumps(spark, sf):
-    """16 bytes a row of the first 256."""
-    return fr.hex_dump(_docs(spark, sf), "doc_id", "content").drop("ascii")
+    """16 bytes a row of the first 256, with what is printable."""
+    return fr.hex_dump(_docs(spark, sf), "doc_id", "content")
 
 
 @query("""SELECT doc_id, lower(trim(regexp_replace(x[1:256], '(..)', '\\1 ', 'g'))) || CASE WHEN length(x) > 256 THEN '...' ELSE '' END AS preview FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents)""".replace("\\\\", "\\"))
@@ -340,12 +365,12 @@ def level_table(spark, sf):
     return spark.createDataFrame([(k, *v) for k, v in C.LEVELS.items()], "level int, searches int, target_len int")
 
 
-@query("""WITH RECURSIVE g(i, x) AS (SELECT 0, CAST(12345 AS BIGINT) UNION ALL SELECT i + 1, CAST(CAST(x AS DOUBLE) * 1103515245.0 + 12345.0 AS BIGINT) & 2147483647 FROM g WHERE i < 256)
-SELECT CAST(i - 1 AS BIGINT) AS i, (x >> 16) & 255 AS value FROM g WHERE i > 0""")
+@query("""WITH RECURSIVE g(i, x) AS (SELECT 0, CAST(12345 AS BIGINT) UNION ALL SELECT i + 1, CAST(CAST(x AS DOUBLE) * 1103515245.0 + 12345.0 AS BIGINT) & 2147483647 FROM g WHERE i < 5000)
+SELECT CAST(i - 1 AS BIGINT) AS i, CAST(CASE WHEN i <= 4096 THEN ascii(substr('Hello World! This is LZ4 benchmark data. ', CAST((i - 1) % 41 + 1 AS BIGINT), 1)) ELSE x & 255 END AS BIGINT) AS value FROM g WHERE i > 0""")
 def generator_bytes(spark, sf):
-    """B1: the generator of incompressible bytes, products rounded as doubles."""
-    rows = spark.range(1).select(F.posexplode(C.lcg_bytes(256)).alias("i", "value"))
-    return rows.select(F.col("i").cast("long").alias("i"), "value")
+    """The low bytes of the generator, products rounded as doubles, and the text over the first 4,096."""
+    rows = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(4999))).alias("i"), codecs.generated(F.lit(5000)).alias("b"))
+    return rows.select(F.col("i").cast("long").alias("i"), C.byte_at("b", F.col("i")).alias("value"))
 
 
 def _tar_files(spark, sf) -> DataFrame:
@@ -363,7 +388,7 @@ _TAR_FILES = "SELECT page_id, regexp_extract(url, '//([^/]+)/', 1) || '-' || (pa
 def tar_roundtrip(spark, sf):
     """Archives of each host, packed, compressed, expanded and listed."""
     packed = tar.pack(_tar_files(spark, sf), "host", "page_id", "name", "data", 1700000000)
-    made = compress_frames(packed, "host", "archive").select("host", codecs.frame_decompress("frame")["data"].alias("archive"))
+    made = compress_frames(packed, "archive").select("host", codecs.frame_decompress("frame")["data"].alias("archive"))
     entries = tar.unpack(made.filter(C.is_tar("archive")), "host", "archive").filter("type = '0'")
     return entries.select("host", "name", "type", "size", "mtime", "checksum_valid", F.md5("data").alias("digest"))
 
@@ -402,8 +427,8 @@ def files_by_directory(spark, sf):
 def compression_report(spark, sf):
     """Sizes and ratio by level (C17); ratios depend on match choices, so the row states what must hold of them."""
     docs = _shards(spark, sf)
-    fast = compress_frames(docs, "shard", "content").select("shard", "original_size", F.octet_length("frame").alias("a"))
-    deep = compress_frames(docs, "shard", "content", FrameOptions(level=9)).select("shard", F.octet_length("frame").alias("b"))
+    fast = compress_frames(docs, "content").select("shard", "original_size", F.octet_length("frame").alias("a"))
+    deep = compress_frames(docs, "content", FrameOptions(level=9)).select("shard", F.octet_length("frame").alias("b"))
     j = fast.join(deep, "shard")
     return j.select("shard", "original_size", (F.col("b") <= F.col("a") * 1.05).alias("smaller"), (F.col("a") <= C.compress_bound("original_size") + 64).alias("bounded"))
 
@@ -413,8 +438,8 @@ def dictionary_savings(spark, sf):
     """Frames of small records with and without a dictionary, and the share of bytes saved."""
     rows = _records(spark, sf)
     o = FrameOptions(content_checksum=False, content_size=False)
-    plain = compress_frames(rows, "event_id", "content", o).agg(F.sum(F.octet_length("frame")).alias("plain"))
-    small = compress_frames(rows, "event_id", "content", FrameOptions(content_checksum=False, content_size=False, dictionary=DICTIONARY)).agg(F.sum(F.octet_length("frame")).alias("with_dictionary"))
+    plain = compress_frames(rows, "content", o).agg(F.sum(F.octet_length("frame")).alias("plain"))
+    small = compress_frames(rows, "content", FrameOptions(content_checksum=False, content_size=False, dictionary=DICTIONARY)).agg(F.sum(F.octet_length("frame")).alias("with_dictionary"))
     return plain.crossJoin(small)  # one row each
 
 
@@ -427,4 +452,101 @@ def scanned_files(spark, sf):
 @query()
 def bench_generated(spark, sf):
     """The benchmark on generated data: six sizes, means of three runs."""
-    return bench.results(spark, runs=3)
+    return bench.results(spark)
+
+
+@query()
+def bench_documents(spark, sf):
+    """The benchmark on the caller's data: means of five runs after two."""
+    return bench.results_of(_docs(spark, sf).select("content"))
+
+
+@query()
+def file_statistics(spark, sf):
+    """Sizes, ratio, times and speed of each text as a file of its own (C17)."""
+    return bench.file_statistics(_docs(spark, sf).select("doc_id", "content"))
+
+
+@query("SELECT doc_id, CAST(i AS BIGINT) AS block_index, NOT (doc_id % 2 = 1 AND i = 0) AS valid FROM (SELECT doc_id, unnest(range((strlen(coalesce(text, '')) + 65535) // 65536)) AS i FROM documents)")
+def block_checksums(spark, sf):
+    """Verdicts of block checksums; the first block of texts with an odd id has its first byte inverted (H5, F2)."""
+    made = _framed(spark, sf, FrameOptions(block_checksum=True, content_checksum=False)).filter("original_size > 0").select("doc_id", "frame")
+    turned = F.concat(F.substring("frame", 1, 19), C.le_bytes(255 - C.byte_at("frame", 19), 1), F.substring(F.col("frame"), F.lit(21), F.lit(2**31 - 1)))
+    rows = fr.blocks(fr.frames(made.withColumn("frame", F.when(F.col("doc_id") % 2 == 1, turned).otherwise(F.col("frame"))), "doc_id", "frame"), "doc_id")
+    return rows.select("doc_id", F.col("block_index").cast("long").alias("block_index"), F.col("block_checksum_valid").alias("valid"))
+
+
+#: Names of 90 to 330 bytes: some fit one field, some are split, some need a pax record.
+_LONG = "repeat('d' || p_partkey || '/', 1 + CAST(p_partkey % 40 AS INT)) || repeat('n', 60 + CAST(p_partkey % 90 AS INT))"
+
+
+@query(f"SELECT p_partkey, {_LONG} AS name, CAST(strlen(p_name) AS BIGINT) AS size, true AS checksum_valid FROM part")
+def tar_long_names(spark, sf):
+    """Names over 100 and over 255 bytes come back whole (A2, A3)."""
+    p = _t(spark, sf, "part").select("p_partkey", F.expr(_LONG).alias("name"), F.encode("p_name", "utf-8").alias("data"))
+    entries = tar.unpack(tar.pack(p, "p_partkey", "p_partkey", "name", "data"), "p_partkey", "archive")
+    return entries.filter("type = '0'").select("p_partkey", "name", "size", "checksum_valid")
+
+
+@query(f"SELECT host, 'site.tar.lz4' AS archive_name FROM ({_TAR_FILES}) GROUP BY host")
+def tar_archive_names(spark, sf):
+    """Names of archives by the top folder of their first file (K5)."""
+    return tar.archive_names(_tar_files(spark, sf), "host", "page_id", "name")
+
+
+@query("SELECT r_regionkey, CASE r_regionkey WHEN 4 THEN '64 KB' WHEN 0 THEN 'Default(64KB)' ELSE NULL END AS label, CAST(CASE r_regionkey WHEN 4 THEN 65536 ELSE 65536 END AS BIGINT) AS size FROM region")
+def block_size_labels(spark, sf):
+    """Labels and sizes of block size ids; unknown ids count as 64 KB and have no label."""
+    r = _t(spark, sf, "region").select(F.col("r_regionkey"), F.col("r_regionkey").cast("int").alias("i"))
+    return r.select("r_regionkey", C.block_size_label("i").alias("label"), C.block_max_size(F.col("i")).alias("size"))
+
+
+@query("SELECT CAST(size AS BIGINT) AS size FROM (VALUES (1024), (4096), (16384), (65536)) v(size)")
+def sizes_up_to(spark, sf):
+    """The benchmark sizes of at most 64 KiB (R2)."""
+    return spark.createDataFrame([(n,) for n in bench.SIZES], "size long").filter("size <= 65536")
+
+
+_LISTED = "CASE WHEN len(string_split(name, '/')) > 2 THEN array_to_string(string_split(name, '/')[2:len(string_split(name, '/')) - 1], '/') ELSE '(root)' END"
+
+
+@query(f"SELECT host, {_LISTED} AS dir, string_agg(name, ',' ORDER BY page_id) AS files FROM ({_TAR_FILES}) WHERE strlen(html) > 0 GROUP BY ALL")
+def files_listed(spark, sf):
+    """Non-empty files of each archive by their folder below the top one."""
+    rows = _tar_files(spark, sf).filter(F.octet_length("data") > 0)
+    parts = F.split("name", "/")
+    folder = F.when(F.size(parts) > 2, F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), "/")).otherwise("(root)")
+    files = F.array_sort(F.collect_list(F.struct("page_id", "name")))
+    return rows.groupBy("host", folder.alias("dir")).agg(F.array_join(F.transform(files, lambda f: f["name"]), ",").alias("files"))
+
+
+@query(f"SELECT host, name, CAST(strlen(html) AS BIGINT) AS size FROM ({_TAR_FILES}) WHERE name LIKE '%/7.html'")
+def entry_by_name(spark, sf):
+    """An entry of an archive found by its name."""
+    entries = tar.unpack(tar.pack(_tar_files(spark, sf), "host", "page_id", "name", "data"), "host", "archive")
+    return entries.filter(F.col("name").endswith("/7.html")).select("host", "name", "size")
+
+
+#: Cells on both sides of the block size, with null and repeated keys.
+_ODD = "SELECT CASE WHEN r_regionkey < 2 THEN NULL ELSE 1 END AS k, repeat(r_name || ' ', CAST(1 + 15000 * (r_regionkey % 2) AS INT)) AS text FROM region"
+
+
+@query(f"SELECT k, md5(text) AS digest, how, true AS sound FROM ({_ODD}), (VALUES ('blocks'), ('legacy'), ('whole')) v(how)")
+def repeated_keys(spark, sf):
+    """Rows with null and repeated keys are rows like any other, whatever their size."""
+    rows = spark.read.parquet(f"{sf}/region.parquet").select(F.expr("IF(r_regionkey < 2, NULL, 1)").alias("k"), F.expr("encode(repeat(r_name || ' ', CAST(1 + 15000 * (r_regionkey % 2) AS INT)), 'utf-8')").alias("content"))
+    blocks = decompress_blocks(compress_frames(rows)).select("k", F.lit("blocks").alias("how"), "data", "content_checksum_valid", "error")
+    whole = lambda made, how: made.select("k", F.lit(how).alias("how"), codecs.frame_decompress("frame").alias("d")).select("k", "how", "d.data", "d.content_checksum_valid", "d.error")
+    out = blocks.unionByName(whole(compress_legacy(rows), "legacy")).unionByName(whole(compress_frames(rows), "whole"))
+    sound = F.col("error").isNull() & F.coalesce("content_checksum_valid", F.lit(True))
+    return out.select("k", F.md5("data").alias("digest"), "how", sound.alias("sound"))
+
+
+@query(f"SELECT doc_id, {MD5} AS digest, '' AS error, CAST(level AS BIGINT) AS level FROM documents, (VALUES (10), (11), (12)) v(level)")
+def roundtrip_favor_decode(spark, sf):
+    """Deep levels in favour of decoding speed."""
+    out = None
+    for level in (10, 11, 12):
+        one = _md5_back(_framed(spark, sf, FrameOptions(level=level, favor_decode_speed=True))).withColumn("level", F.lit(level).cast("long"))
+        out = one if out is None else out.unionByName(one)
+    return out

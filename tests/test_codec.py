@@ -51,7 +51,7 @@ def test_sequences_cover_the_text():
 
 def framed(spark, data: bytes, options=FrameOptions(), **more) -> bytes:
     df = spark.createDataFrame([(1, data)], "k int, content binary")
-    return bytes(compress_frames(df, "k", "content", options, **more).first().frame)
+    return bytes(compress_frames(df, "content", options, **more).first().frame)
 
 
 def decoded(spark, frame: bytes, dictionary: bytes = b"", first_only: bool = False):
@@ -90,15 +90,15 @@ def test_split_and_whole_cells_give_the_same_bytes(spark):
     assert framed(spark, data) == framed(spark, data, split_over=10)
     assert framed(spark, b"short", split_over=1) == framed(spark, b"short")
     df = spark.createDataFrame([(1, framed(spark, data))], "k int, frame binary")
-    got = decompress_blocks(df, "k").first()
+    got = decompress_blocks(df).first()
     assert got.data == data and got.n_blocks == -(-len(data) // 65_536) and got.error is None
 
 
 def test_null_cells_and_empty_tables(spark):
     df = spark.createDataFrame([(1, None), (2, b"x")], "k int, content binary")
-    got = {r.k: r.frame for r in compress_frames(df, "k", "content").collect()}
+    got = {r.k: r.frame for r in compress_frames(df).collect()}
     assert got[1] is None and got[2] is not None
-    assert compress_frames(df.filter("k > 5"), "k", "content").count() == 0
+    assert compress_frames(df.filter("k > 5")).count() == 0
 
 
 def test_damage_is_told_not_raised(spark):
@@ -126,7 +126,7 @@ def test_streams_of_frames(spark):
 
 def test_legacy(spark):
     df = spark.createDataFrame([(1, b"old format " * 100), (2, b"")], "k int, content binary")
-    for r in compress_legacy(df, "k", "content").select("k", codecs.frame_decompress("frame").alias("d")).collect():
+    for r in compress_legacy(df).select("k", codecs.frame_decompress("frame").alias("d")).collect():
         assert (r.d.data, r.d.type) == ({1: b"old format " * 100, 2: b""}[r.k], "legacy")
 
 
@@ -144,3 +144,48 @@ def test_little_endian_fields(spark):
 def test_variants_are_checked():
     with pytest.raises(ValueError):
         C.skippable_frame(F.lit("x"), 16)
+
+
+def test_rows_need_no_key(spark):
+    """Null and repeated keys on both sides of the block size, and columns whose names the plans use themselves."""
+    cells = [b"small", b"L" * 200_000 + noise(70_000), b"other " * 40_000, b"", None]
+    rows = [(k, c, 1, 2, "r") for k in (None, 7) for c in cells]
+    df = spark.createDataFrame(rows, "k int, content binary, rid int, block_index int, row string")
+    want = sorted((str(k), c or b"", c is None) for k, c, *_ in rows)
+    for made in (compress_frames(df), compress_frames(df, split_over=3), compress_legacy(df)):
+        assert made.columns[:4] == ["k", "rid", "block_index", "row"]
+        got = made.select("k", "row", "frame", codecs.frame_decompress("frame").alias("d")).collect()
+        assert sorted((str(r.k), bytes(r.d.data) if r.d else b"", r.frame is None) for r in got) == want
+        assert all(r.d.error is None and r.d.content_checksum_valid is not False for r in got if r.d)
+        back = decompress_blocks(made.drop("original_size")).collect()
+        assert sorted((str(r.k), bytes(r.data or b""), r.data is None) for r in back) == want
+        assert all(r.error is None and r.content_checksum_valid is not False for r in back)
+
+
+def test_blocks_of_all_frames_are_decoded(spark):
+    a, b = framed(spark, b"one " * 40_000, FrameOptions(block_checksum=True)), framed(spark, b"two")
+    linked = pa.Codec("lz4").compress(b"linked blocks share their history " * 9_000, asbytes=True)
+    skip = b"\x53\x2a\x4d\x18\x02\x00\x00\x00hi"
+    bad = a[:-1] + bytes([a[-1] ^ 1])
+    cells = {"all": a + skip + b, "linked": linked, "skip": skip, "bad": bad, "cut": a[:-15], "odd": b"nothing"}
+    df = spark.createDataFrame([(k, v) for k, v in cells.items()], "k string, frame binary")
+    got = {r.k: r for r in decompress_blocks(df).collect()}
+    assert (got["all"].data, got["all"].n_blocks, got["all"].content_checksum_valid) == (b"one " * 40_000 + b"two", 4, True)
+    assert got["linked"].data == b"linked blocks share their history " * 9_000 and got["skip"].data == b"" and got["bad"].content_checksum_valid is False
+    assert got["cut"].error == "Truncated block data" and got["odd"].error.startswith("Invalid magic")
+
+
+def test_dictionary_ids_are_matched(spark):
+    frame = framed(spark, b"text " * 9, FrameOptions(dict_id=5))
+    df = spark.createDataFrame([(frame,)], "f binary")
+    got = [df.select(codecs.frame_decompress("f", dict_id=i).alias("d")).first().d.error for i in (0, 5, 6)]
+    assert got == [None, None, "Dictionary id 5, not 6"]
+
+
+def test_generator():
+    x, want = 12345, []
+    for _ in range(5000):
+        x = int(float(x) * 1103515245.0 + 12345.0) & 0x7FFFFFFF
+        want.append(x % 256)
+    got = B.generated(5000)
+    assert list(got[4096:]) == want[4096:] and got[:12] == b"Hello World!" and len(B.generated(0)) == 0

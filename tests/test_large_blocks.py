@@ -26,9 +26,11 @@ def test_content_over_the_bound_is_an_error(spark):
     assert sorted(got, key=lambda r: r[1] or "") == [("q" * 10, None), ("q" * 10, "Larger than 10 bytes")]
 
 
-def test_benchmark_has_six_sizes_of_three_runs(spark, monkeypatch):
+def test_benchmark_protocols(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(queries.bench, "generated", lambda spark, size: size)
-    monkeypatch.setattr(queries.bench, "measure", lambda df, options, runs: seen.append((df, runs)) or (df, 1, 1.0, 1.0, 1.0, 1.0, 1.0))
+    monkeypatch.setattr(queries.bench, "measure", lambda df, options, runs, warm=1: seen.append((df, runs, warm)) or (1, 1, 1.0, 1.0, 1.0, 1.0, 1.0))
     assert queries.Q["bench_generated"](spark, "").count() == 6
-    assert seen == [(1 << k, 3) for k in (10, 12, 14, 16, 18, 20)]
+    assert seen == [(1 << k, 3, 1) for k in (10, 12, 14, 16, 18, 20)]
+    queries.bench.results_of(spark.range(1))
+    assert seen[6][1:] == (5, 2)

@@ -11,7 +11,7 @@ from marlstone.streaming.watch import watch_frames
 
 
 def frames_table(spark, data: bytes, options=FrameOptions()):
-    made = compress_frames(spark.createDataFrame([(1, data)], "k int, content binary"), "k", "content", options)
+    made = compress_frames(spark.createDataFrame([(1, data)], "k int, content binary"), "content", options)
     return made, fr.frames(made, "k", "frame")
 
 
@@ -35,14 +35,14 @@ def test_unknown_data_is_one_frame(spark):
 
 
 def test_concat_and_dump(spark):
-    made = compress_frames(spark.createDataFrame([(1, b"a"), (2, b"b")], "k int, content binary"), "k", "content").withColumn("g", F.lit(1))
+    made = compress_frames(spark.createDataFrame([(1, b"a"), (2, b"b")], "k int, content binary")).withColumn("g", F.lit(1))
     both = fr.concat_frames(made, "g", "k", "frame").select(codecs.frame_decompress("frames").alias("d")).first().d
     assert both.data == b"ab"
     rows = fr.hex_dump(spark.createDataFrame([(1, b"hello \x00 world, and on")], "k int, c binary"), "k", "c").orderBy("offset").collect()
     assert [(r.offset, r.ascii) for r in rows] == [(0, "hello . world, a"), (16, "nd on")]
 
 
-NAMES = ["a/b/one.txt", "a/two.txt", "root.txt", "x" * 60 + "/" + "y" * 80 + "/z.txt", "ü/name.txt"]
+NAMES = ["a/b/one.txt", "a/two.txt", "root.txt", "x" * 60 + "/" + "y" * 80 + "/z.txt", "ü/name.txt", "p" * 170 + "/" + "q" * 140]
 
 
 def test_tar_reads_elsewhere_and_back(spark):
@@ -57,7 +57,7 @@ def test_tar_reads_elsewhere_and_back(spark):
     assert {e.name: bytes(e.data) for e in entries if e.type == "0"} == {n: d for _, _, n, d in rows}
     assert all(e.checksum_valid for e in entries)
     s = tar.summary(tar.unpack(packed, "g", "archive"), "g").first()
-    assert (s.n_files, s.total_bytes) == (5, sum(len(d) for *_, d in rows))
+    assert (s.n_files, s.total_bytes) == (6, sum(len(d) for *_, d in rows))
 
 
 def test_foreign_archives_do_not_lose_their_place(spark):
@@ -68,12 +68,12 @@ def test_foreign_archives_do_not_lose_their_place(spark):
             info.size = 700
             t.addfile(info, io.BytesIO(b"d" * 700))
     got = tar.unpack(spark.createDataFrame([(1, buf.getvalue())], "k int, a binary"), "k", "a").filter("type = '0'").collect()
-    assert len(got) == 2 and got[1].name == "./sub/b" and all(bytes(e.data) == b"d" * 700 for e in got)
+    assert len(got) == 2 and got[0].name == "./" + "long/" * 60 + "a" and got[1].name == "./sub/b" and all(bytes(e.data) == b"d" * 700 for e in got)
 
 
 def test_files_in_and_out(spark, tmp_path):
     docs = spark.createDataFrame([(1, b"first " * 100), (2, b"second " * 100)], "k int, content binary")
-    made = compress_frames(docs, "k", "content").select(F.concat(F.lit("in/"), F.col("k").cast("string"), F.lit(".lz4")).alias("name"), F.col("frame").alias("data"))
+    made = compress_frames(docs).select(F.concat(F.lit("in/"), F.col("k").cast("string"), F.lit(".lz4")).alias("name"), F.col("frame").alias("data"))
     files.write_files(made, str(tmp_path))
     assert files.read_frames(spark, str(tmp_path)).filter("type = 'standard'").count() == 2
     found = files.read_files(spark, str(tmp_path), "*.lz4")
@@ -98,6 +98,22 @@ def test_archives_are_extracted_by_base_name(spark, tmp_path):
     assert [(p.name, p.read_bytes()) for p in tmp_path.iterdir()] == [("f.txt", b"hi")]
 
 
+def test_equal_base_names_stay_apart(spark, tmp_path):
+    rows = [(1, 0, "d/f.txt", b"one"), (1, 1, "e/f.txt", b"two"), (1, 2, "g/bare", b"3"), (1, 3, "h/bare", b"4")]
+    packed = tar.pack(spark.createDataFrame(rows, "g int, i int, name string, data binary"), "g", "i", "name", "data")
+    made = compress_frames(packed, "archive").select(F.lit("a.tar.lz4").alias("name"), F.col("frame").alias("data"))
+    files.write_files(made, str(tmp_path / "in"))
+    files.write_files(packed.select(F.lit("b.tar").alias("name"), F.col("archive").alias("data")), str(tmp_path / "in2"))
+    assert files.read_tar(spark, str(tmp_path / "in2")).filter("type = '0'").count() == 4
+    files.extract_tar(files.read_tar(spark, str(tmp_path / "in")), str(tmp_path / "out"))
+    assert {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()} == {"f.txt": b"one", "f (1).txt": b"two", "bare": b"3", "bare (1)": b"4"}
+
+
+def test_dictionary_files(spark, tmp_path):
+    (tmp_path / "d").write_bytes(b"x" * 100 + b"y" * 65_535)
+    assert files.read_dictionary(spark, str(tmp_path / "d")) == b"y" * 65_535
+
+
 def test_bench_rows(spark):
     r = bench.results(spark, (1 << 10, 1 << 13)).collect()
     assert [x.input_size for x in r] == [(1 << 10) * bench.COPIES, (1 << 13) * bench.COPIES] and all(x.ratio > 1 for x in r)
