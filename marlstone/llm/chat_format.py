@@ -33,7 +33,10 @@ def unescape(x) -> F.Column:
 
 
 def fold_events(events: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text of final messages from events (conv_id, message_id, seq, kind, role, text)."""
+    """conv_id, turn, role, text of final messages from events (conv_id, message_id, seq, kind, role, text).
+
+    Events are dealt by conversation, which serves the fold of each message and the rendering of each conversation: one exchange.
+    """
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     item = F.struct(
         F.col("seq"),
@@ -41,47 +44,49 @@ def fold_events(events: DataFrame) -> DataFrame:
         role.alias("role"),
         text.alias("text"),
     )
-    per = events.groupBy("conv_id", "message_id").agg(F.array_sort(F.collect_list(item)).alias("log"))
+    per = events.repartition("conv_id").groupBy("conv_id", "message_id").agg(F.array_sort(F.collect_list(item)).alias("log"))
     # What precedes the last setting event is void; what follows it are deltas.
     last = F.aggregate(
         F.sequence(F.lit(1), F.size("log")),
         F.lit(1),
         lambda at, i: F.when(F.element_at("log", i)["is_delta"] == 0, i).otherwise(at),
     )
-    live = F.slice("log", last, F.size("log"))
+    per = per.select("conv_id", "log", last.alias("last"))
+    live = F.slice("log", F.col("last"), F.size("log"))
     return per.select(
         "conv_id",
         F.col("log")[0]["seq"].alias("turn"),
-        F.element_at("log", last)["role"].alias("role"),
-        F.array_join(F.transform(live, lambda x: x["text"]), "").alias("text"),
+        F.element_at("log", F.col("last"))["role"].alias("role"),
+        F.when(F.size("log") == 1, F.col("log")[0]["text"]).otherwise(F.array_join(F.transform(live, lambda x: x["text"]), "")).alias("text"),
     )
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """conv_id, formatted, loss_spans (array of start, length), n_turns from final messages (conv_id, turn, role, text)."""
-    role = F.replace(escape(F.coalesce("role", F.lit(""))), F.lit("\n"), F.lit("&nl;"))
-    text = escape(F.coalesce("text", F.lit("")))
-    head = F.concat(F.lit(TURN), role, F.lit("\n"))
-    turn = F.struct(
-        F.col("turn"),
-        F.coalesce("role", F.lit("")).alias("role"),
-        F.concat(head, text, F.lit(END)).alias("body"),
-        F.char_length(head).alias("at"),
-        F.char_length(text).alias("n"),
-    )
-    per = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    """conv_id, formatted, loss_spans (array of start, length), n_turns from final messages (conv_id, turn, role, text).
+
+    Turns are ordered by number, then role and text as they are, before anything is escaped.
+    """
+    role, text = F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    turns = F.array_sort(F.collect_list(F.struct(F.col("turn"), role, text)))
+
+    def body(x):
+        head = F.concat(F.lit(TURN), F.replace(escape(x["role"]), F.lit("\n"), F.lit("&nl;")), F.lit("\n"))
+        return F.struct(x["role"].alias("role"), head.alias("head"), escape(x["text"]).alias("text"))
+
+    per = messages.groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", F.transform("turns", body).alias("turns"))
     start = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
 
     def step(acc, x):
-        own = F.array(F.struct((acc["pos"] + x["at"]).cast("long").alias("start"), x["n"].cast("long").alias("length")))
+        at, n = acc["pos"] + F.char_length(x["head"]), F.char_length(x["text"])
+        own = F.array(F.struct(at.cast("long").alias("start"), n.cast("long").alias("length")))
         return F.struct(
-            (acc["pos"] + F.char_length(x["body"])).cast("long").alias("pos"),
+            (at + n + len(END)).cast("long").alias("pos"),
             F.when(x["role"] == LOSS_ROLE, F.concat(acc["spans"], own)).otherwise(acc["spans"]).alias("spans"),
         )
 
     return per.select(
         "conv_id",
-        F.array_join(F.transform("turns", lambda x: x["body"]), "").alias("formatted"),
+        F.array_join(F.transform("turns", lambda x: F.concat(x["head"], x["text"], F.lit(END))), "").alias("formatted"),
         F.aggregate("turns", start, step)["spans"].alias("loss_spans"),
         F.size("turns").cast("long").alias("n_turns"),
     )
@@ -106,6 +111,12 @@ def loss_text(formatted, spans) -> F.Column:
     return unescape(F.array_join(parts, ""))
 
 
+def events_of(conversations: DataFrame) -> DataFrame:
+    """The event log of a plain table (conv_id, turn, role, text): each row is a message of its own, as the log of a chat that was never edited."""
+    rows = conversations.select("conv_id", "turn", "role", "text")
+    return rows.select("conv_id", F.monotonically_increasing_id().alias("message_id"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+
+
 def format_chats(conversations: DataFrame) -> DataFrame:
-    """Events of a plain table (conv_id, turn, role, text): each row is a whole message of its own."""
-    return render(conversations.select("conv_id", "turn", "role", "text"))
+    """Conversations of a plain table (conv_id, turn, role, text), folded from its events and rendered."""
+    return render(fold_events(events_of(conversations)))

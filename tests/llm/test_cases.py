@@ -139,6 +139,12 @@ def naive_spans(text):
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def test_address_parts_of_any_length():
+    for t in ("0" * 5000 + "1.0.0.1", "9" * 5000 + ".1.1.1", "1.2.3." + "0" * 5000):
+        got = base_spans(t)
+        assert ("ip" in [k for k, *_ in got]) == (t[0] != "9")
+
+
 def test_base_spans_are_those_of_the_patterns():
     r = random.Random(3)
     parts = ["@", ".", "a", "b-", "%", "+1", "0", "25", "256", " ", "(", ")", "-", "4111111111111111", "1.2.3.4", "x@y.z", "é", "+49 (30) 123-4567"]
@@ -155,6 +161,15 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[100].base == [] and [(s.kind, s.start) for s in got[100].spans] == [(1, 32)]
 
 
+def test_contexts_find_numbers_in_groups(spark):
+    """Three seeds suffice; the unseen number is written in groups that no base pattern takes; a word of 200 letters is a context like any other."""
+    odd = "q" * 200
+    rows = [(i, f"please call {odd} +49 30 12345{i:02} before noon", "s") for i in range(12, 15)] + [(100, f"please call {odd} (030) 555-0199 before noon", "s"), (101, f"room 555 0199 {odd}", "s")]
+    got = {r.doc_id: r for r in find_personal_data(table(spark, rows)).collect()}
+    assert got[100].base == [] and [(s.kind, rows[3][1][s.start : s.end]) for s in got[100].spans] == [(4, "(030) 555-0199")]
+    assert got[101].spans == []
+
+
 def test_pages_cases(spark):
     page = "<html><head><title>T</title></head><body><nav>menu</nav><article><h1>A &amp; B</h1><p>one<p>two  <b>bold</b>&lt;</article><div id=comments><p>c</div><footer>f</footer>"
     bare = [(i, "http://h.example/x", f"<body><div><p>the same notice stands on every page of the host</p></div><div><p>own words of page number {i}</p></div>") for i in range(5)]
@@ -173,6 +188,21 @@ def test_chat_cases(spark):
     assert got[1].loss == "x\ny" and [tuple(t) for t in got[None].turns] == [("role\nwith", "t")] and got[2].loss == ""
 
 
+def test_tied_turns_are_ordered_by_their_own_text(spark):
+    rows = [(1, 0, "user", "5 after the sign"), (1, 0, "user", "<sign"), (1, 0, "user", "[sign"), (1, 0, "a&b", "role first"), (1, 0, "user", "5 after the sign")]
+    out = format_chats(spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, message_id long, log string"))
+    got = out.select(parse(F.col("formatted")).alias("t")).first().t
+    assert [tuple(x) for x in got] == sorted(r[2:] for r in rows)
+    assert format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_very_long_turns(spark):
+    long = "x<[&\n" * 200_000
+    out = format_chats(spark.createDataFrame([(1, 0, "assistant", long), (1, 1, "assistant", "end")], "conv_id long, turn long, role string, text string"))
+    got = out.select(parse(F.col("formatted")).alias("t"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert got.t[0].text == long and got.loss == long + "end"
+
+
 def test_events_fold(spark):
     log = [(1, "m", 1, "message", "assistant", "Hel"), (1, "m", 2, "delta", "assistant", "lo"), (1, "m", 4, "regenerate", "assistant", "Good "), (1, "m", 5, "delta", "assistant", "day"), (1, "n", 3, "delta", "user", "only "), (1, "n", 6, "delta", "user", "deltas")]
     got = fold_events(spark.createDataFrame(log, "conv_id long, message_id string, seq long, kind string, role string, text string")).orderBy("turn").collect()
