@@ -6,9 +6,10 @@ windows of `window` consecutive words of an item (a shorter item is one window),
 automaton over all patterns scans every document once; a match marks the words it covers, whose offsets are mapped
 back to code points of the original text.
 
-The automaton is broadcast, so the benchmark is measured first: up to `max_chars` characters it is one automaton; a
-larger benchmark is dealt by item into as many automata as that bound asks for, each scanning all documents, and
-the marks are united. No document, item or window is left out either way.
+Symbols are numbered words, so a window has as many nodes as words. The automaton is broadcast, and its size is estimated first from
+the counted words: beyond `max_bytes` the benchmark is dealt into as many automata as that bound asks for, each scanning all
+documents, and the marks are united. Long items are cut into overlapping pieces before they are dealt, so no item makes a large
+automaton of its own. No document, item or window is left out either way.
 
 Defined results: null and empty texts have no words and are clean. Items without words have no windows. Items with a
 null id still contaminate, and are listed as an empty id. Repeated item ids count once, repeated documents are
@@ -30,7 +31,10 @@ from pyspark.sql.functions import arrow_udf
 from ._common import LOWER_ALNUM, save
 
 WINDOW = 13
-MAX_CHARS = 16_000_000
+#: Bytes of one automaton at most, by estimate; bytes of one of its nodes; words of a benchmark piece.
+MAX_BYTES = 128_000_000
+NODE_BYTES = 64
+PIECE_WORDS = 4096
 RUN = "struct<first:bigint,last:bigint,start:bigint,end:bigint>"
 SCAN = f"struct<n_words:bigint,hits:array<{RUN}>,items:array<string>>"
 _RUN = ("first", "last", "start", "end")
@@ -44,44 +48,48 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(LOWER_ALNUM).split()
 
 
-def windows_of(words: list[bytes], window: int) -> list[list[bytes]]:
+def pieces_of(words: list[bytes], window: int, most: int = PIECE_WORDS) -> list[list[bytes]]:
+    """An item's words in pieces that overlap by window - 1 words, so that each window lies whole in one piece."""
     if not words:
         return []
-    return [words[i : i + window] for i in range(max(1, len(words) - window + 1))]
-
-
-def build_automaton(items: list[tuple[str, str]], window: int):
-    """The automaton over all windows of (item_id, text), or None if there are none."""
-    found: dict[str, tuple[int, set[str]]] = {}
-    for item_id, text in items:
-        for w in windows_of(words_of((text or "").encode()), window):
-            found.setdefault(f" {b' '.join(w).decode('latin-1')} ", (len(w), set()))[1].add(item_id)
-    if not found:
-        return None
-    out = ahocorasick.Automaton()
-    for pattern, payload in found.items():
-        out.add_word(pattern, payload)
-    out.make_automaton()
-    return out
-
-
-def scan(raw: bytes, text: str | None, automaton) -> tuple[int, list[tuple[int, int, int, int]], list[str]]:
+    return [words[i : i + most + window - 1] for i in range(0, max(1, len(words) - window + 1), most)]
+
+
+class Automaton:
+    """Aho-Corasick automaton over the windows of benchmark pieces, with numbered words as symbols."""
+
+    def __init__(self, pieces: list[tuple[str, str]], window: int):
+        self.number: dict[bytes, int] = {}
+        found: dict[tuple[int, ...], set[str]] = {}
+        for item_id, text in pieces:
+            ids = tuple(self.number.setdefault(w, len(self.number) + 1) for w in text.encode().split())
+            for i in range(max(1, len(ids) - window + 1) if ids else 0):
+                found.setdefault(ids[i : i + window], set()).add(item_id)
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for ids, items in found.items():
+            self.machine.add_word(ids, (len(ids), tuple(items)))
+        if found:
+            self.machine.make_automaton()
+
+    def matches(self, words: list[bytes]) -> Iterator[tuple[int, int, tuple[str, ...]]]:
+        """(last word, words, items) of each occurrence of a window."""
+        get = self.number.get
+        ids = [get(w, 0) for w in words]
+        if len(self.machine) and any(ids):
+            for last, (n, items) in self.machine.iter(tuple(ids)):
+                yield last, n, items
+
+
+def scan(raw: bytes, text: str | None, automaton: Automaton) -> tuple[int, list[tuple[int, int, int, int]], list[str]]:
     """Words, runs of marked words (first, last, and their code points if text is given), items of one document."""
     words = words_of(raw)
-    if not words or automaton is None:
-        return len(words), [], []
-    line = b" " + b" ".join(words) + b" "
     items: set[str] = set()
-    marks = gaps = None
-    for end, (n, ids) in automaton.iter(line.decode("latin-1")):
-        if marks is None:
-            gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-            marks = np.zeros(len(words) + 1, np.int32)
-        last = int(np.searchsorted(gaps, end)) - 1
+    marks = np.zeros(len(words) + 1, np.int32)
+    for last, n, ids in automaton.matches(words):
         marks[last - n + 1] += 1
         marks[last + 1] -= 1
-        items |= ids
-    if marks is None:
+        items.update(ids)
+    if not items:
         return len(words), [], []
     inside = np.concatenate(([0], np.cumsum(marks[:-1]) > 0, [0])).astype(np.int8)
     edges = np.flatnonzero(np.diff(inside))
@@ -98,7 +106,7 @@ def _scan_column(shared, key: str, window: int):
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if key not in _built:
             _built.clear()
-            _built[key] = build_automaton(shared.value, window)
+            _built[key] = Automaton(shared.value, window)
         automaton = _built[key]
         for texts in parts:
             out = []
@@ -134,20 +142,34 @@ def _united(a: Column, b: Column) -> Column:
     return F.struct(a["n_words"].alias("n_words"), F.aggregate(runs, none, merge).alias("hits"), items.alias("items"))
 
 
-def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_chars: int = MAX_CHARS
-) -> DataFrame:
+def _cutter(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [
+                (item, b" ".join(p), len(p))
+                for item, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist())
+                for p in pieces_of(words_of(raw or b""), window)
+            ]
+            ids, texts, sizes = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([t.decode() for t in texts], pa.string()), pa.array(sizes, pa.int64())], names=["item_id", "piece", "n"])
+
+    return run
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Per document: row (the input row), n_words, hits (runs of marked words with original offsets), items (ids, sorted as strings)."""
     spark = docs.sparkSession
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text")
     )
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
-    shards = max(1, -(-size // max_chars))
+    pieces = save(items.mapInArrow(_cutter(window), "item_id string, piece string, n long").distinct(), "benchmark-pieces")
+    weight = F.octet_length("piece") + F.col("n") * F.lit(window * NODE_BYTES)
+    size = pieces.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    shards = max(1, -(-size // max_bytes))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     for s in range(shards):
-        part = items if shards == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == s)
-        shared = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])  # at most about max_chars
+        part = pieces if shards == 1 else pieces.filter(F.pmod(F.xxhash64("item_id", "piece"), F.lit(shards)) == s)
+        shared = spark.sparkContext.broadcast([tuple(r) for r in part.select("item_id", "piece").collect()])  # its automaton has about max_bytes
         own = _scan_column(shared, uuid.uuid4().hex, window)(F.coalesce(F.col("row.text"), F.lit("")))
         if s == 0:
             rows = rows.select("row", own.alias("found"))

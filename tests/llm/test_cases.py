@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import queries as q
 from marlstone.llm.chat_format import fold_events, format_chats, loss_text, parse
-from marlstone.llm.decontaminate import drop_contaminated, find_contamination, judge
+from marlstone.llm.decontaminate import drop_contaminated, find_contamination, judge, pieces_of
 from marlstone.llm.exact_dedup import CHUNK, compose, exact_dedup, fingerprint
 from marlstone.llm.html_extract import extract_main_text
 from marlstone.llm.line_dedup import drop_boilerplate, line_dedup
@@ -98,11 +98,21 @@ def test_decontamination_cases(spark, odd):
     assert got[5].hits[0].start == 0 and got[5].hits[0].end == 15
     assert drop_contaminated(odd, bench).columns == odd.columns and drop_contaminated(odd, bench).count() == 6
     assert drop_contaminated(odd, bench.limit(0)).count() == odd.count()
-    many = find_contamination(odd, bench, max_chars=6)
+    many = find_contamination(odd, bench, max_bytes=3000)
     key = lambda d: sorted(str((r.row.doc_id, r.n_words, r.hits, r["items"])) for r in d.collect())
     assert key(many) == key(find_contamination(odd, bench))
 
 
+def test_long_items_are_cut_with_overlap(spark, odd):
+    """A benchmark item of 60,000 words, dealt over several automata, marks what one automaton marks: all of its own text."""
+    bench = spark.createDataFrame([(None, words(1, 60_000)), (None, words(3, 50))], "item_id long, text string")
+    for most in (250_000_000, 20_000_000):
+        got = {r.row.doc_id: r for r in find_contamination(odd, bench, max_bytes=most).collect()}
+        assert [(h.first, h.last) for h in got[6].hits] == [(0, 59_999)] and [(h.first, h.last) for h in got[7].hits] == [(0, 59_999)] and got[4].hits == []
+    assert find_contamination(odd.limit(0), bench).count() == 0
+    assert [len(p) for p in pieces_of([b"w"] * 30, 13, 9)] == [21, 21] and pieces_of([b"w"] * 5, 13, 9) == [[b"w"] * 5] and pieces_of([], 13) == []
+
+
 def test_toxicity_cases(odd, labels):
     assert toxicity(odd, labels).count() == odd.count()
     assert toxicity(odd, labels.limit(0)).filter("score != 0").count() == 0
