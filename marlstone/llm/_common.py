@@ -20,21 +20,28 @@ _STEP = 0x9E3779B97F4A7C15
 
 
 def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of at most `rows` texts, unless the session asks for fewer: what a Python worker holds at a time."""
+    """Arrow batches of at most `rows` texts, unless the session asks for fewer: what a Python worker holds at a time.
+
+    This is a setting of the session, which is read when a job runs; queries and stages set it, operators leave sessions alone.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of sf_dir, dealt over all cores where its files give fewer partitions (small files of one row group)."""
     bound_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder all executors share (spark.checkpoint.dir). Only a local session without one gets a temporary folder; a cluster must name it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -58,6 +65,21 @@ def maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, max_rows) else df
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, size: int = 512) -> DataFrame:
+    """left joined to right, which has one row for each value of key, where left may repeat a value very often.
+
+    Values with more than `size` rows in left are counted first; their rows are dealt over parts of about that size, and the row of
+    right is repeated for each part. left is read twice, so it should be a written table.
+    """
+    hot = left.groupBy(key).agg(F.count(F.lit(1)).alias("parts")).filter(F.col("parts") > size)
+    hot = maybe_broadcast(save(hot.select(key, F.ceil(F.col("parts") / size).cast("int").alias("parts")), "hot-keys"), 1_000_000)
+    one = F.coalesce("parts", F.lit(1)).cast("long")
+    names = [c for c in left.columns if c != key]
+    dealt = left.join(hot, key, "left").withColumn("part", F.pmod(F.xxhash64(*names), one)).drop("parts")
+    copies = right.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).drop("parts")
+    return dealt.join(copies, [key, "part"]).drop("part")
+
+
 def mix64(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit finaliser (splitmix) over an array of uint64."""
     z = x + np.uint64((salt * _STEP + _STEP) & _MASK)

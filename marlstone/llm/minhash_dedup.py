@@ -27,12 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import maybe_broadcast, mix64, save, shingle_hashes, small_enough, spaced
+from ._common import maybe_broadcast, mix64, salted_join, save, shingle_hashes, small_enough, spaced
 from .components import connected_components
 
 SLOTS = 180
 MISS = 1e-6
-BLOCK = 512
+BLOCK = 128
 #: Elements which get their permutation in one array (bounds memory for very long texts).
 PART = 8192
 _SCALE = np.float32(2.0**-24)
@@ -116,17 +116,15 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 
 def _verifier(width: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[int, np.ndarray] = {}
+        memo: dict[bytes, np.ndarray] = {}  # by the text itself: an id may have several texts
         for b in batches:
-            ids = [b.column(i).to_pylist() for i in (0, 1)]
-            raws = [b.column(i).cast(pa.binary()).to_pylist() for i in (2, 3)]
             ok = []
-            for x, y, tx, ty in zip(*ids, *raws):
-                if x not in memo:
+            for tx, ty in zip(*(b.column(i).cast(pa.binary()).to_pylist() for i in (2, 3))):
+                if tx not in memo:
                     if len(memo) > 64:
                         memo.clear()
-                    memo[x] = _shingles(tx, width)
-                ok.append(linked(memo[x], _shingles(ty, width), num, den))
+                    memo[tx] = _shingles(tx, width)
+                ok.append(linked(memo[tx], _shingles(ty, width), num, den))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
     return run
@@ -197,11 +195,9 @@ def near_duplicates(
 
     star = save(members.filter("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), "star-pairs")
     texts = save(_texts_for(star, docs), "candidate-texts")
-    pairs = (
-        star.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        .join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        .select("a", "b", "ta", "tb")
-    )
+    # The texts of a large bucket do not all go to the task of its smallest member: that one's text goes to them.
+    pairs = salted_join(star, texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).distinct(), "a")
+    pairs = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     links = save(pairs.mapInArrow(_verifier(width, num, den), "a long, b long"), "star-links")
     found = connected_components(links)
 
@@ -209,14 +205,21 @@ def near_duplicates(
     named = members.join(maybe_broadcast(found, 1_000_000), F.col("id") == F.col("node"), "left").select(
         "bucket", "number", "id", F.coalesce("component", "id").alias("component")
     )
-    per = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-    open_ = save(per.filter("n > 2 and c0 != c1").select("bucket", "n"), "open-buckets")
-    if not small_enough(open_, 0):
-        rest = named.join(maybe_broadcast(open_, 1_000_000), "bucket")
-        n_blocks = F.ceil(F.col("n") / F.lit(block)).cast("long")
-        own = F.pmod(F.xxhash64("id"), n_blocks)
-        # Each member goes to the pairs of blocks that its own block is in: as many copies as there are blocks.
-        rest = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
+    # The members of a bucket's smallest component (most of them, in a large group of copies) need no comparison with each other.
+    per = named.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.min_by("component", "id").alias("main")
+    )
+    open_ = per.filter("n > 2 and c0 != c1").select("bucket", "n", "main")
+    rest_of = named.join(maybe_broadcast(open_, 1_000_000), "bucket").withColumn("apart", F.col("component") != F.col("main"))
+    rest_of = save(rest_of, "open-members")
+    if not small_enough(rest_of, 0):
+        sizes = rest_of.groupBy("bucket").agg(F.ceil(F.count_if("apart") / F.lit(block)).cast("long").alias("na"), F.ceil(F.count_if(~F.col("apart")) / F.lit(block)).cast("long").alias("nm"))
+        rest = rest_of.join(maybe_broadcast(sizes, 1_000_000), "bucket")
+        # Blocks 0 to na - 1 hold the members apart, the next nm the others; pairs of blocks have at least one of the former.
+        dice = F.xxhash64("id")
+        own = F.when(F.col("apart"), F.pmod(dice, "na")).otherwise(F.col("na") + F.pmod(dice, F.greatest("nm", F.lit(1).cast("long"))))
+        last = F.when(F.col("apart"), F.col("na") + F.col("nm")).otherwise(F.col("na")) - 1
+        rest = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
         rest = rest.select(
             "bucket",
             "number",

@@ -90,6 +90,35 @@ def test_near_duplicate_cases(odd):
     assert sorted(str(r.doc_id) for r in drop_near_duplicates(odd).collect()) == ["1", "2", "3", "4", "4", "6", "None", "None"]
 
 
+def test_repeated_ids_with_different_texts(spark):
+    """Near copies of either text of id 1 are linked by it, and passages of either are found."""
+    a, b = words(11, 120), words(12, 120)
+    d = table(spark, [(1, a, "s"), (1, b, "s"), (2, a + " end", "s"), (3, b + " end", "s"), (4, words(13, 120), "s")])
+    assert {r.component_id for r in near_duplicates(d).collect() if r.doc_id != 4} == {1}
+    got = repeated_passages(table(spark, [(1, a, "s"), (1, b, "s"), (2, words(14, 30) + " " + a, "s"), (3, words(15, 30) + " " + b, "s")])).collect()
+    assert {x for r in got for x in (r.doc_id, r.match_id)} == {1, 2, 3}
+
+
+def test_hot_buckets_are_compared_in_blocks(spark):
+    """Versions of one text that drift: neighbours are linked, far ones are not, and one bucket holds many of them; against all pairs."""
+    r, base = random.Random(8), words(21, 200).split()
+    rows = []
+    for i in range(60):
+        if i % 3 == 0:
+            base = base[:]
+            base[r.randrange(200)] = f"new{i}"
+        rows.append((i, " ".join(base), "s"))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(196)} for i, t, _ in rows}
+    top = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                x, y = sorted((top[i], top[j]))
+                top = [x if t == y else t for t in top]
+    got = {x.doc_id: x.component_id for x in near_duplicates(table(spark, rows), block=4).collect()}
+    assert got == dict(enumerate(top))
+
+
 def test_decontamination_cases(spark, odd):
     bench = spark.createDataFrame([(1, "Same, TEXT here"), (None, "same"), (2, None), (3, ""), (1, "same text")], "item_id long, text string")
     got = {r.row.doc_id: r for r in judge(find_contamination(odd, bench)).collect() if r.row.doc_id}
