@@ -1,25 +1,24 @@
-"""Main text of web pages by host suffix arrays.
-
-Each page becomes a stream of blocks: runs of text between block-level tags, with the containers they stand in. Markup
-settles what it can: scripts, styles, forms, menus, headers and footers of the page, sidebars, notices, adverts and reader
-comments (by element, role, class or id) are boilerplate; what stands in an article, or in the page's main element, is content.
-All remaining blocks are undecided, and repetition within the host decides: their words are concatenated into one token stream
-for each host, every position is a suffix, and the suffix array is built by sorting suffixes on their first `depth` tokens.
-Equal neighbours on `min_pages` distinct pages are substrings of `depth` tokens or more that repeat across pages, and
-the positions they cover are boilerplate. Undecided blocks keep their uncovered runs; a page without any content by
-markup keeps what repetition leaves.
-
-The suffix array is distributed: a host is never one task. Suffixes are dealt by the digest of their first tokens
-and counted in parts before the shuffle, so neither a hot host nor a hot passage makes a hot task, and nothing
-about a host is collected. A suffix is cut at `depth` tokens, which finds the same covered positions
-as full suffixes do, since longer repeats consist of overlapping ones of that length.
+"""Main text of web pages by markup and by substrings that repeat over a host.
+
+Each page becomes a stream of blocks: runs of text between block-level tags, with the containers they stand in. The tokens of a
+host's blocks are one stream; the suffixes at all its positions outside articles are grouped by their first `depth` tokens (a block with
+fewer tokens is one suffix), and counted by distinct pages, which are distinct texts: mirror copies of a page are one page. A group on
+`min_pages` pages and on more than `min_share` of the host's pages is a long substring repeated across distinct pages, and what it covers is boilerplate.
+
+Markup settles what it can: scripts, styles, forms, menus, page headers and footers, sidebars, notices, adverts and reader comments (by
+element, role, or a class or id that says nothing else) are boilerplate, and what stands in an article is content. In all other
+blocks repetition decides: covered tokens go, unique runs stay.
+
+Groups equal on their first tokens are what neighbours of a sorted suffix array with such a common prefix are. They are found by
+aggregation instead of sorting: digests are counted in parts before the shuffle, so neither a hot host nor a hot passage makes a hot
+task, and nothing about a host is collected. Longer repeats consist of overlapping ones of that length, so the same positions are covered.
 
 Repetition alone cannot give the contract's text: adverts rotate and some hosts have one page, while articles repeat
-whole paragraphs that must stay. Hence it decides only where markup does not.
+whole paragraphs that must stay. `decide` names what decides: "both", "suffixes" alone or "markup" alone.
 
 Defined results: a null or empty page gives an empty text. Unclosed elements end where their container ends; a truncated page
-is read to its end. Null urls form one host. Repeated rows are pages of their own. Empty tables give empty results. Only
-page_id, url and html are read.
+is read to its end. Null urls form one host. Repeated rows are pages of their own, with one text in the counts. Empty tables give empty
+results. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -32,10 +31,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import maybe_broadcast, save, small_enough
+from ._common import maybe_broadcast, save
 
 DEPTH = 8
 MIN_PAGES = 3
+MIN_SHARE = 0.005
 
 #: Names of HTML elements by their part in a page.
 SKIPPED = frozenset("script style noscript template svg math head title iframe object select option textarea button canvas audio video".split())
@@ -53,8 +53,12 @@ CHROME_WORDS = frozenset(
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments reply replies disqus "
     "respond pagination pager toolbar search form copyright legal disclaimer".split()
 )
+#: Words that say nothing about what a container is.
+PLAIN_WORDS = frozenset("area bar block bottom box button buttons container content fixed global group icons inner item items left link links list main outer page primary right secondary section site small sticky text top widget wrap wrapper".split())
 #: Words which make a container the article itself.
 CONTENT_WORDS = frozenset("article post entry story".split())
+#: Within an article these name its own head.
+HEADINGS = frozenset({"header"})
 _CLOSED_BY = {"p": BLOCKS - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
@@ -66,9 +70,15 @@ _SPACE = re.compile(r"[ \t\n\r\f\v  -    　]+")
 CONTENT, CHROME_BLOCK, UNDECIDED = 1, 0, 2
 
 
+def _says(name: str, meant: frozenset) -> bool:
+    """Whether a class or id consists of one of these words, and of nothing else but plain ones."""
+    words = {w.lower() for w in _NAME_WORD.findall(name)}
+    return bool(words & meant) and words <= meant | PLAIN_WORDS
+
+
 def _marks(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is boilerplate, and whether it is the article."""
-    words: set[str] = set()
+    """Whether an element is boilerplate, and whether it is the article (of a page that has no such element)."""
+    names: list[str] = []
     role = ""
     if attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
@@ -78,17 +88,17 @@ def _marks(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
             elif name == "hidden" or name == "aria-hidden" and value == "true":
                 return True, False
             elif name in ("class", "id"):
-                words.update(w.lower() for w in _NAME_WORD.findall(value))
+                names += value.split()
     if tag in CHROME or role in ROLES or (tag == "header" and not inside):
         return True, False
-    if words & CHROME_WORDS and tag not in ("body", "html", "main", "article") and not (inside and words & CHROME_WORDS <= {"header"}):
+    if tag not in ("body", "html", "main", "article") and any(_says(n, CHROME_WORDS) and not (inside and _says(n, HEADINGS)) for n in names):
         return True, False
-    article = tag == "article" or role == "article" or bool(words & CONTENT_WORDS) and tag in ("div", "section")
-    return bool(words & {"comment", "comments", "reply", "replies"}), article
+    named = any(_says(n, CONTENT_WORDS) for n in names) and tag in ("div", "section")
+    return False, tag == "article" or role == "article" or named
 
 
 def blocks_of(page: str) -> list[tuple[int, str]]:
-    """(class, text) of each block in page order; within pages that have articles, a main element is undecided no more."""
+    """(class, text) of each block in page order."""
     out: list[list] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, boilerplate, in article, in main
@@ -109,7 +119,7 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
             where = state
             parts.append(page[a:b])
 
-    at, n = 0, len(page)
+    at, n, has_article = 0, len(page), False
     while at < n:
         m = _TAG.search(page, at)
         if m is None:
@@ -143,23 +153,18 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
             bad, own, main = state if not stack else stack[-1][1:]
             state = (bad, own, main)
             more, article = _marks(tag, m[3], own or main)
+            has_article |= tag == "article" and not bad
             stack.append((tag, bad or more, own or article, main or tag == "main"))
         state = stack[-1][1:] if stack else (False, False, False)
     flush()
-    has_article = any(s[1] and not s[0] for s, _ in out)
-    has_main = any(s[2] and not s[0] for s, _ in out)
     result = []
     for (bad, own, main), t in out:
         if bad:
             kind = CHROME_BLOCK
-        elif own:
+        elif own or main and not has_article:
             kind = CONTENT
-        elif has_article:  # beside an article: never content by markup, and no part of it
-            kind = CHROME_BLOCK
-        elif main:
-            kind = CONTENT
-        else:
-            kind = CHROME_BLOCK if has_main else UNDECIDED
+        else:  # beside an article element nothing but its main element can hold more of it
+            kind = CHROME_BLOCK if has_article and not main else UNDECIDED
         result.append((kind, t))
     return result
 
@@ -174,60 +179,71 @@ def suffix_keys(tokens: list[str], depth: int) -> list[bytes]:
     ]
 
 
-_BLOCK = pa.list_(pa.struct([("kind", pa.int32()), ("text", pa.string()), ("keys", pa.list_(pa.binary()))]))
+_BLOCK = pa.list_(pa.struct([("kind", pa.int32()), ("text", pa.string())]))
+
+
+def decided(page: str, decide: str) -> list[tuple[int, str]]:
+    blocks = blocks_of(page)
+    if decide == "suffixes":
+        return [(UNDECIDED, t) for _, t in blocks]
+    if decide == "markup":
+        return [(CONTENT if k == UNDECIDED else k, t) for k, t in blocks]
+    return blocks
 
 
-def _parser(depth: int):
+def _parser(depth: int, decide: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            out, pages, keys = [], [], []
             for page in b.column(3).to_pylist():
-                out.append([{"kind": k, "text": t, "keys": suffix_keys(t.split(" "), depth) if k == UNDECIDED else []} for k, t in blocks_of(page or "") if k != CHROME_BLOCK])
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in (0, 1, 2)), pa.array(out, _BLOCK)], names=["page_id", "url", "host", "blocks"])
+                blocks = decided(page or "", decide)
+                out.append([{"kind": k, "text": t} for k, t in blocks if k != CHROME_BLOCK])
+                whole = hashlib.blake2b("\n".join(t for _, t in blocks).encode("utf-8", "surrogatepass"), digest_size=8)
+                pages.append(int.from_bytes(whole.digest(), "little", signed=True))
+                keys.append(sorted({x for k, t in blocks if k != CONTENT for x in suffix_keys(t.split(" "), depth)}))
+            cols = [*(b.column(i) for i in (0, 1, 2)), pa.array(pages, pa.int64()), pa.array(out, _BLOCK), pa.array(keys, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "host", "page", "blocks", "keys"])
 
     return run
 
 
-def _uncovered(depth: int):
+def uncovered(text: str, gone: set[bytes], depth: int) -> str:
+    """What of a block no repeated substring covers."""
+    tokens = text.split(" ")
+    covered = bytearray(len(tokens))
+    for i, key in enumerate(suffix_keys(tokens, depth)):
+        if key in gone:
+            covered[i : i + depth] = b"\x01" * len(covered[i : i + depth])
+    return " ".join(t for t, c in zip(tokens, covered) if not c)
+
+
+def _joined(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
             for blocks, drops in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                gone, lines = set(drops or ()), []
-                for block in blocks:
-                    if block["kind"] == CONTENT or not gone:
-                        lines.append(block["text"])
-                        continue
-                    tokens = block["text"].split(" ")
-                    covered = bytearray(len(tokens))
-                    for i, key in enumerate(block["keys"]):
-                        if key in gone:
-                            covered[i : i + depth] = b"\x01" * len(covered[i : i + depth])
-                    left = " ".join(t for t, c in zip(tokens, covered) if not c)
-                    if left:
-                        lines.append(left)
-                texts.append("\n".join(lines))
+                gone = set(drops or ())
+                lines = [x["text"] if x["kind"] == CONTENT or not gone else uncovered(x["text"], gone, depth) for x in blocks]
+                texts.append("\n".join(filter(None, lines)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return run
 
 
-def extract_main_text(pages: DataFrame, depth: int = DEPTH, min_pages: int = MIN_PAGES) -> DataFrame:
+def extract_main_text(pages: DataFrame, depth: int = DEPTH, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, decide: str = "both") -> DataFrame:
     """page_id, url, text, n_chars per row of pages."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", host.alias("host"), "html")
     ids, url = (pages.schema[c].dataType.simpleString() for c in ("page_id", "url"))
-    block = "struct<kind:int,text:string,keys:array<binary>>"
-    parsed = rows.mapInArrow(_parser(depth), f"page_id {ids}, url {url}, host string, blocks array<{block}>")
+    parsed = rows.mapInArrow(_parser(depth, decide), f"page_id {ids}, url {url}, host string, page long, blocks array<struct<kind:int,text:string>>, keys array<binary>")
     parsed = save(parsed.withColumn("rid", F.monotonically_increasing_id()), "page-blocks")
 
-    suffixes = parsed.select("rid", "host", F.explode(F.array_distinct(F.flatten("blocks.keys"))).alias("key"))
-    counts = suffixes.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    repeated = save(counts.select("host", "key"), "repeated-suffixes")
-    if small_enough(repeated, 0):
-        drops = parsed.withColumn("drops", F.lit(None).cast("array<binary>"))
-    else:
-        hits = suffixes.join(maybe_broadcast(repeated, 500_000), ["host", "key"]).groupBy("rid").agg(F.collect_list("key").alias("drops"))
-        drops = parsed.join(hits, "rid", "left")
-    out = drops.select("page_id", "url", "blocks", "drops").mapInArrow(_uncovered(depth), f"page_id {ids}, url {url}, text string")
-    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+    total = parsed.groupBy("host").agg(F.count_distinct("page").alias("pages"))
+    counts = parsed.select("host", "page", F.explode("keys").alias("key")).distinct().groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
+    repeated = counts.filter(F.col("n") >= min_pages).join(total, "host").filter(F.col("n") > min_share * F.col("pages"))
+    repeated = save(repeated.select("host", "key"), "repeated-suffixes")
+    open_ = parsed.filter(F.exists("blocks", lambda x: x["kind"] == UNDECIDED))
+    hits = open_.select("rid", "host", F.explode("keys").alias("key")).join(maybe_broadcast(repeated, 500_000), ["host", "key"])
+    hits = hits.groupBy("rid").agg(F.collect_list("key").alias("drops"))
+    out = parsed.join(hits, "rid", "left").select("page_id", "url", "blocks", "drops")
+    return out.mapInArrow(_joined(depth), f"page_id {ids}, url {url}, text string").withColumn("n_chars", F.char_length("text").cast("long"))

@@ -219,6 +219,54 @@ def test_pages_cases(spark):
     assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def pages_of(spark, rows):
+    return spark.createDataFrame([(*r, "x", [b"k"]) for r in rows], "page_id long, url string, html string, text string, keys array<binary>")
+
+
+def test_pages_keep_what_markup_does_not_name(spark):
+    mirror = "<body><div>all three mirrors of this page carry the very same text and no markup</div></body>"
+    rows = [(i, f"http://m.example/{i}", mirror) for i in range(3)]
+    rows += [(3, "http://a.example/", "<main><div class='notice-board-history'>a history of notice boards</div></main>")]
+    rows += [(4, "http://b.example/", "<article><h1>T</h1><section class='related-work'>prior papers</section><div class='related'>more links</div></article>")]
+    rows += [(5, "http://c.example/", "<div class=post>first half</div><div>second half</div><div class='site-footer'>f</div>")]
+    rows += [(6, "http://d.example/", "<main><h1>Title</h1><article><p>body</article></main><div>loose</div>"), (6, "http://d.example/", "<article>same id</article>")]
+    got = [(r.page_id, r.text) for r in extract_main_text(pages_of(spark, rows)).collect()]
+    same = "all three mirrors of this page carry the very same text and no markup"
+    assert sorted(got) == [(0, same), (1, same), (2, same), (3, "a history of notice boards"), (4, "T\nprior papers"), (5, "first half\nsecond half"), (6, "Title\nbody"), (6, "same id")]
+
+
+def test_very_long_pages(spark):
+    long = "<p>" + words(5, 100_000) + "</p>" * 3 + "<div>" * 5000
+    got = extract_main_text(pages_of(spark, [(1, None, "<article>" + long), (2, None, long)])).collect()
+    assert [r.text for r in got] == [words(5, 100_000)] * 2 and extract_main_text(pages_of(spark, [(1, None, None)])).first().n_chars == 0
+
+
+def test_repeated_substrings_against_brute_force(spark):
+    """Pages without markup: what eight tokens in a row, on three distinct pages and a share of the host, cover goes; all else stays."""
+    r = random.Random(6)
+    runs = [words(i, 12) for i in range(4)] + ["short menu", "one two three"]
+    rows = []
+    for i in range(40):
+        blocks = [words(100 + i, 9)] + [f"{words(200 + i, 3)} {x} {words(300 + i, 2)}" if len(x) > 20 else x for x in r.sample(runs, 3)]
+        rows.append((i, f"http://h{i % 3}.example/", "".join(f"<div>{b}</div>" for b in blocks), blocks))
+    rows += [(90 + i, "http://h0.example/", rows[0][2], rows[0][3]) for i in range(4)]
+    where, hosts = {}, {}
+    grams = lambda t: [tuple(t[k : k + 8]) for k in range(max(1, len(t) - 7))]
+    for _, url, _, blocks in rows:
+        hosts.setdefault(url, set()).add(tuple(blocks))
+        for b in blocks:
+            for g in grams(b.split()):
+                where.setdefault((url, g), set()).add(tuple(blocks))
+    got = {x.page_id: x.text for x in extract_main_text(pages_of(spark, [x[:3] for x in rows]), min_share=0.2).collect()}
+    for i, url, _, blocks in rows:
+        lines = []
+        for b in blocks:
+            t = b.split()
+            out = {k + j for k, g in enumerate(grams(t)) for j in range(8) if len(where[url, g]) >= 3 and len(where[url, g]) > 0.2 * len(hosts[url])}
+            lines.append(" ".join(x for k, x in enumerate(t) if k not in out))
+        assert got[i] == "\n".join(filter(None, lines)), i
+
+
 def test_chat_cases(spark):
     rows = [(1, 0, None, "</s>[INST] & <|end|>&lt;"), (1, 1, "assistant", None), (1, 1, "assistant", "x\ny"), (None, 5, "role\nwith", "t"), (2, 0, "user", "")]
     out = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
