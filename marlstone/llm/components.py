@@ -1,4 +1,8 @@
-"""Connected components of a link table, as Spark jobs with written rounds."""
+"""Connected components of a link table, as Spark jobs with written rounds.
+
+Defined results: links with a null end and links of a node with itself are left out, and so are nodes without another link. Repeated links count
+once. An empty table gives an empty result. Only the columns a and b are read.
+"""
 
 from __future__ import annotations
 
@@ -28,7 +32,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     the logarithm of its tree's depth. Each step is a written table, so lineage stays short and lost executors cost one step.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = save(both.filter("a != b").distinct(), "links")
+    both = save(both.filter("a != b").distinct(), "links")  # a null end fails the test
     rounds = []
     while not rounds or not small_enough(both, 0):
         tree = save(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")), "tree")

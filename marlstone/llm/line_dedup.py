@@ -1,8 +1,9 @@
 """Site-relative line dedup, in DataFrame functions only.
 
-Lines are compared after trimming blanks and tabs; blank lines are never boilerplate. A page is one distinct text of a
-site, so that mirror copies of a page are no evidence against its lines. A line is boilerplate on a site when the
-share of the site's pages containing it exceeds `ratio` and at least `min_pages` pages contain it. Boilerplate lines
+Lines are compared after trimming blanks and tabs; blank lines are never boilerplate. A page is one distinct text of a site, and
+pages count for a line once for each company it is in: the least digest of the page's other lines. Copies and near copies of a page have the
+same one, so they are no evidence against the lines they share, however many they are. A line is boilerplate on a site when
+the pages that count for it exceed `ratio` of the site's pages and are at least `min_pages`. Boilerplate lines
 are dropped from every text of that site; the other lines keep their order and bytes.
 
 Per page each line is reduced to a 128-bit digest once, so shuffles carry digests and counts only, and counts are
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._common import save, small_enough
 
-RATIO = 0.02
+RATIO = 0.07
 MIN_PAGES = 3
 
 
@@ -38,13 +39,14 @@ BLANK = "unhex('d41d8cd98f00b204e9800998ecf8427e')"
 
 def boilerplate_lines(docs: DataFrame, site: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """site_key, digest, n_pages, site_pages of each boilerplate line."""
+    digests = F.array_sort(F.array_distinct(F.transform(F.split("text", "\n"), _digest)))
     pages = docs.filter(F.col("text").isNotNull()).select(
-        _site(site).alias("site_key"),
-        F.unhex(F.md5(F.col("text").cast("binary"))).alias("page"),
-        F.array_distinct(F.transform(F.split("text", "\n"), _digest)).alias("digests"),
+        _site(site).alias("site_key"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("page"), F.filter(digests, lambda d: d != F.expr(BLANK)).alias("digests")
     )
-    lines = pages.select("site_key", "page", F.explode("digests").alias("digest")).filter(f"digest != {BLANK}")
-    counts = lines.groupBy("site_key", "digest").agg(F.count_distinct("page").alias("n_pages"))
+    least = [F.coalesce(F.try_element_at("digests", F.lit(i)), F.expr(BLANK)) for i in (1, 2)]
+    lines = pages.select("site_key", least[0].alias("m1"), least[1].alias("m2"), F.explode("digests").alias("digest"))
+    company = F.when(F.col("digest") == F.col("m1"), F.col("m2")).otherwise(F.col("m1"))
+    counts = lines.groupBy("site_key", "digest").agg(F.count_distinct(company).alias("n_pages"))
     totals = pages.groupBy("site_key").agg(F.count_distinct("page").alias("site_pages"))
     counts = counts.filter(F.col("n_pages") >= min_pages)
     return counts.join(totals, "site_key").filter(F.col("n_pages") > F.lit(ratio) * F.col("site_pages"))

@@ -44,12 +44,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = rf"""
 WITH pages AS (SELECT doc_id, coalesce('=' || source, 'null') AS site, text, string_split(text, chr(10)) AS ls FROM documents),
 totals AS (SELECT site, count(DISTINCT text) AS n FROM pages GROUP BY site),
-bare AS (SELECT DISTINCT site, text, regexp_replace(unnest(ls), '^[ \t\r]+|[ \t\r]+$', '', 'g') AS line FROM pages),
-hot AS (SELECT site, line FROM bare JOIN totals USING (site) WHERE line <> '' GROUP BY site, line, n
-        HAVING count(*) >= {MIN_PAGES} AND count(*) > {RATIO} * n),
+bare AS (SELECT DISTINCT site, text, list_filter(list_sort(list_distinct(list_transform(ls, lambda x: md5(regexp_replace(x, '^[ \t\r]+|[ \t\r]+$', '', 'g'))))), lambda x: x <> md5('')) AS ds FROM pages WHERE text IS NOT NULL),
+met AS (SELECT site, ds[1] AS m1, coalesce(ds[2], md5('')) AS m2, unnest(ds) AS line FROM bare),
+hot AS (SELECT site, line FROM met JOIN totals USING (site) GROUP BY site, line, n
+        HAVING count(DISTINCT CASE WHEN line = m1 THEN m2 ELSE m1 END) >= {MIN_PAGES} AND count(DISTINCT CASE WHEN line = m1 THEN m2 ELSE m1 END) > {RATIO} * n),
 drops AS (SELECT site, list(line) AS d FROM hot GROUP BY site),
 done AS (SELECT doc_id, ls, CASE WHEN d IS NULL THEN ls ELSE
-         list_filter(ls, lambda x: NOT list_contains(d, regexp_replace(x, '^[ \t\r]+|[ \t\r]+$', '', 'g'))) END AS k
+         list_filter(ls, lambda x: NOT list_contains(d, md5(regexp_replace(x, '^[ \t\r]+|[ \t\r]+$', '', 'g')))) END AS k
          FROM pages LEFT JOIN drops USING (site))
 SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(ls) - len(k), 0) AS BIGINT) AS n_dropped,
        sha256(coalesce(array_to_string(k, chr(10)), '')) AS text_sha256

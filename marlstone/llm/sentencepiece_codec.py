@@ -4,11 +4,10 @@ A text gets a leading blank and is cut into marked words: a run of blanks with t
 vocabularies in use crosses such a boundary (the codec checks this), so the best segmentation of a text is that of its
 marked words. The distinct marked words of a slice of texts are sorted; walking them in order is a depth-first
 traversal of their trie, and the forward scores of the prefix common with the previous word are kept. The best
-segmentation has the largest sum of piece scores; of equal ones, the one whose last piece is longest, as in the
-library's own unigram Viterbi. Characters without a piece are spelled as byte pieces.
+segmentation has the largest sum of piece scores; of equal ones, the one whose last piece is longest. Characters without a piece are spelled as byte pieces.
 
-The public vocabulary file has the scores of a merge-ranked vocabulary; here they are read as unigram scores, so ids are those of
-the library's unigram encoder over the same pieces, not of its merge encoder; decoding is the same for both.
+The public vocabulary file has the scores of a merge-ranked vocabulary; here they are read as unigram scores, so ids are
+the best segmentation by the sum of scores, not those of the library's merge encoder; decoding is the same for both.
 
 Slices hold a bounded number of bytes, so memory does not grow with a partition; very long texts form a slice of their own.
 Defined results: null gives null ids; an empty text gives none and decodes to itself. A literal mark sign is spelled

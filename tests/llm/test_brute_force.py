@@ -1,6 +1,7 @@
 """Whole queries against plain versions on the smallest tables."""
 
 import collections
+import hashlib
 import itertools
 import re
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import queries as q, toxicity as tox
 from marlstone.llm._common import LOWER_ALNUM
+from marlstone.llm.line_dedup import MIN_PAGES, RATIO
 from marlstone.llm.minhash_dedup import banding, near_duplicates, superminhash
 from oracle import SF, same
 
@@ -187,14 +189,19 @@ def test_pipeline_stages(spark):
         after = {r.doc_id: r for r in out.collect()}
         assert set(after) <= set(before)
         if name == "line_dedup":
-            lines = collections.defaultdict(set)
+            met = collections.defaultdict(set)
+            digest = lambda x: hashlib.md5(x.encode()).hexdigest()
             for r in before.values():
-                for x in r.text.split("\n"):
-                    lines[r.source, x.strip(" \t\r")].add(r.text)
+                own = {x.strip(" \t\r") for x in r.text.split("\n")} - {""}
+                for x in own:
+                    met[r.source, x].add(min(map(digest, own - {x}), default=""))
             pages = collections.Counter(s for s, _ in {(r.source, r.text) for r in before.values()})
-            bad = {k for k, v in lines.items() if k[1] and len(v) >= 3 and len(v) > 0.02 * pages[k[0]]}
+            bad = {k for k, v in met.items() if len(v) >= MIN_PAGES and len(v) > RATIO * pages[k[0]]}
             for i, r in before.items():
                 assert after[i].text == "\n".join(x for x in r.text.split("\n") if (r.source, x.strip(" \t\r")) not in bad)
+        elif name == "toxicity":
+            said = {r.doc_id: r.predicted for r in tox.toxicity(d, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+            assert set(after) == {i for i in before if not said[i]} and all(after[i] == before[i] for i in after)
         elif name == "near_dedup":
             sets = {}
             for i, r in before.items():
@@ -214,3 +221,24 @@ def test_pipeline_stages(spark):
         d = spark.createDataFrame(list(after.values()), d.schema)
     last = p.STAGES[-1][1](spark, d, SF)
     assert last.count() == d.count() and last.filter("not intact").count() == 0
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=q.VOCABULARY)  # another decoder gives the texts back from the ids
+    texts = {r.doc_id: r.text for r in d.collect()}
+    for r in last.collect():
+        if "\n" not in texts[r.doc_id] and "▁" not in texts[r.doc_id]:
+            assert library.decode(list(r.ids)) == texts[r.doc_id]
+
+
+def test_pipeline_of_empty_and_null_rows(spark, tmp_path):
+    import corpus_pipeline as p
+
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/nulls/{name}.parquet")
+    assert p.run(spark, f"{tmp_path}/none").count() == 0
+    d = spark.read.parquet(f"{SF}/documents.parquet").limit(3)
+    nulls = d.select(*[F.lit(None).cast(t).alias(c) for c, t in d.dtypes])
+    d.unionByName(nulls).withColumn("row", F.lit("clash")).write.mode("overwrite").parquet(f"{tmp_path}/nulls/documents.parquet")
+    got = p.run(spark, f"{tmp_path}/nulls").collect()
+    assert any(r.doc_id is None and r.ids is None for r in got)

@@ -76,8 +76,13 @@ def test_line_dedup_cases(spark, odd):
 
 
 def test_copies_are_no_evidence_against_their_lines(spark):
-    rows = [(i, "a page\nmirrored", "a") for i in range(50)]
-    assert drop_boilerplate(table(spark, rows)).filter("n_dropped > 0").count() == 0
+    rows = [(i, "a page\nmirrored", "a") for i in range(50)] + [(100 + i, "\n".join(f"line {k}" if k != i else f"edited {k}" for k in range(40)), "b") for i in range(30)]
+    assert drop_boilerplate(table(spark, rows)).filter("n_dropped > 2").count() == 0
+    assert drop_boilerplate(table(spark, rows).limit(0)).count() == 0
+
+
+def test_empty_tables(odd):
+    assert [f(odd.limit(0)).count() for f in (exact_dedup, near_duplicates, line_dedup, drop_near_duplicates)] == [0] * 4
 
 
 def test_near_duplicate_cases(odd):
@@ -307,6 +312,7 @@ def test_sentencepiece_cases(spark, odd, codec):
     assert len(got) == odd.count() and all(r.intact for r in got if r.ids is not None)
     texts = {r[0] for r in out.select(decode_column(codec, spark)("ids")).collect()}
     assert texts == {r.text for r in odd.select("text").collect()}
+    assert encode_documents(odd.limit(0), codec).count() == 0
 
 
 def best_score(codec, word):

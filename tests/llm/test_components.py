@@ -48,4 +48,6 @@ def test_components_of_adverse_shapes(spark, links):
 
 
 def test_no_links_have_no_components(spark):
-    assert connected_components(spark.createDataFrame([(1, 1)], "a long, b long")).collect() == []
+    assert connected_components(spark.createDataFrame([(1, 1), (None, 2), (2, None)], "a long, b long")).collect() == []
+    got = connected_components(spark.createDataFrame([(2, 1, 5), (2, 1, 6), (None, 9, 5)], "a long, b long, node long")).collect()
+    assert {tuple(r) for r in got} == {(1, 1), (2, 1)}
