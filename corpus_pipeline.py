@@ -1,4 +1,9 @@
-"""The corpus pipeline: five of the training-data operators in turn, each on all that its predecessor kept."""
+"""The corpus pipeline: five of the training-data operators in turn, each on all that its predecessor kept.
+
+Defined results: rows with a null text or null doc_id stay in every stage (they score as an empty text, have no lines, no set and no words),
+and have null ids at the end. Of repeated rows with the kept doc_id all stay. Other columns of documents pass through all stages but the last,
+whatever their names. An empty table gives an empty result; without labels or benchmark items those stages keep every row.
+"""
 
 from __future__ import annotations
 
