@@ -36,21 +36,39 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (spark.checkpoint.dir). Only a local session without one gets a temporary folder; a cluster must name it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="marlstone-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        name = spark.sparkContext.applicationId
+        if name not in _local_dirs:
+            _local_dirs[name] = tempfile.mkdtemp(prefix="marlstone-")
+        found = _local_dirs[name]
     return found.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/marlstone-{spark.sparkContext.applicationId}"
+
+
+def remove_saved(spark: SparkSession) -> None:
+    """Remove all tables that save() wrote in this application. Results that were not written elsewhere can no longer be read then."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def save(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Later plans read the table, so it stays until remove_saved().
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

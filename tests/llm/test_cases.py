@@ -8,7 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import queries as q
+from marlstone.llm import _common, pii, queries as q
 from marlstone.llm.chat_format import fold_events, format_chats, loss_text, parse
 from marlstone.llm.decontaminate import drop_contaminated, find_contamination, judge, pieces_of
 from marlstone.llm.exact_dedup import CHUNK, compose, exact_dedup, fingerprint
@@ -156,6 +156,61 @@ def test_toxicity_cases(odd, labels):
     assert held[5] == (zlib.crc32(b"5") % 3 == 1) and held[None] is False
 
 
+def test_saved_tables_are_removed(spark, tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setattr(_common, "shared_dir", lambda spark: str(tmp_path))
+    assert _common.save(spark.range(3), "some").count() == 3 and len(os.listdir(tmp_path)) == 1
+    _common.remove_saved(spark)
+    assert os.listdir(tmp_path) == []
+
+
+def test_added_spans_against_brute_force(spark):
+    """Spans found by context, against a plain scoring of the same mentions; contexts are mixed, shared by kinds and too weak by turns."""
+    r = random.Random(12)
+    make = {
+        1: lambda: f"user{r.randrange(99)}@mail.example.com", 2: lambda: f"10.0.{r.randrange(9)}.{r.randrange(99)}", 4: lambda: f"+49 30 {r.randrange(10**6, 10**7)}",
+        0: lambda: r.choice([f"user{r.randrange(9)}{r.randrange(9)}@intranet", f"(030) 555-{r.randrange(1000, 1020)}", f"ID{r.randrange(10**6, 10**7)}"]),
+    }
+    before = {1: ["please contact", "write to"], 2: ["server at"], 4: ["call now", "the number"], 0: ["please contact", "call now", "the number", "invoice no"]}
+    said = lambda k: f"{r.choice(before[k if r.random() < 0.95 else 4])} {make[k]()} {r.choice(['today', 'please', 'soon', 'twice', 'again'])}"
+    rows = [(i, " and ".join(said(r.choice([1, 2, 4, 4, 1, 0])) for _ in range(3)), "s") for i in range(150)]
+    edges, found = {}, {}
+    for i, t, _ in rows:
+        base = base_spans(t)
+        for kind, a, b in base + [("", *c) for c in pii.candidates(t, base)]:
+            for c in pii.contexts(t, a, b):
+                edges[c, t[a:b]] = max(edges.get((c, t[a:b]), ""), kind)
+                found.setdefault((i, a, b, kind), []).append(c)
+    n, seeds, support = {}, {}, {}
+    for (c, _), kind in edges.items():
+        n[c] = n.get(c, 0) + 1
+        if kind:
+            seeds[c] = seeds.get(c, 0) + 1
+            support[c, kind] = support.get((c, kind), 0) + 1
+    support = {k: v for k, v in support.items() if seeds[k[0]] >= pii.MIN_SUPPORT}
+    damped = lambda k, mass: mass / n[k[0]] * (1 - 1 / (3 * support[k]))
+    score = {k: damped(k, v) for k, v in support.items()}
+    while True:
+        belief = {}
+        for (c, v), kind in edges.items():
+            for (c2, kind2), s in score.items():
+                if not kind and c2 == c:
+                    belief[v, kind2] = max(belief.get((v, kind2), 0), s)
+        new = {k: damped(k, support[k] + sum(belief.get((v, k[1]), 0) for (c, v), kind in edges.items() if c == k[0] and not kind)) for k in support}
+        moved, score = max(abs(new[k] - score[k]) for k in new), new
+        if moved <= pii.SETTLED:
+            break
+    strong = {}
+    for (c, kind), s in score.items():
+        if s >= pii.MIN_SCORE and support[c, kind] >= pii.MIN_SUPPORT:
+            strong[c] = max(strong.get(c, (0, "")), (s, kind))
+    want = {(i, a, b, kind or max(strong[c] for c in cs if c in strong)[1]) for (i, a, b, kind), cs in found.items() if kind or any(c in strong for c in cs)}
+    got = {(x.doc_id, s.start, s.end, KINDS[s.kind - 1]) for x in find_personal_data(table(spark, rows)).collect() for s in x.spans}
+    assert got == want
+    assert {True, False} == {any(c in strong for c in cs) for (*_, kind), cs in found.items() if not kind}
+
+
 def test_personal_data_cases(odd):
     assert find_personal_data(odd).count() == odd.count()
     assert find_personal_data(odd.limit(0)).count() == 0
