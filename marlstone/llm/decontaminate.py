@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -68,15 +69,19 @@ class Automaton:
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for ids, items in found.items():
             self.machine.add_word(ids, (len(ids), tuple(items)))
+        self.shortest = min(map(len, found), default=0)
         if found:
             self.machine.make_automaton()
 
     def matches(self, words: list[bytes]) -> Iterator[tuple[int, int, tuple[str, ...]]]:
         """(last word, words, items) of each occurrence of a window."""
-        get = self.number.get
-        ids = [get(w, 0) for w in words]
-        if len(self.machine) and any(ids):
-            for last, (n, items) in self.machine.iter(tuple(ids)):
+        m = self.shortest
+        if not m or len(words) < m:
+            return
+        ids = np.fromiter(map(self.number.get, words, repeat(0)), np.int64, len(words))
+        known = np.concatenate(([0], np.cumsum(ids > 0)))
+        if (known[m:] - known[:-m] == m).any():  # no window without as many benchmark words in a row
+            for last, (n, items) in self.machine.iter(tuple(ids.tolist())):
                 yield last, n, items
 
 

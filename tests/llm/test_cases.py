@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import _common, pii, queries as q
 from marlstone.llm.chat_format import fold_events, format_chats, loss_text, parse
-from marlstone.llm.decontaminate import drop_contaminated, find_contamination, judge, pieces_of
+from marlstone.llm.decontaminate import Automaton, drop_contaminated, find_contamination, judge, pieces_of, scan
 from marlstone.llm.exact_dedup import CHUNK, compose, exact_dedup, fingerprint
 from marlstone.llm.html_extract import extract_main_text
 from marlstone.llm.line_dedup import drop_boilerplate, line_dedup
@@ -147,6 +147,24 @@ def test_long_items_are_cut_with_overlap(spark, odd):
     assert [len(p) for p in pieces_of([b"w"] * 30, 13, 9)] == [21, 21] and pieces_of([b"w"] * 5, 13, 9) == [[b"w"] * 5] and pieces_of([], 13) == []
 
 
+def test_scan_against_brute_force():
+    r = random.Random(2)
+    for _ in range(1500):
+        kinds = [b"a", b"b", b"c", b"dd"]
+        items = [(str(i), b" ".join(r.choice(kinds[:3]) for _ in range(r.randint(1, 9))).decode()) for i in range(r.randint(0, 3))]
+        doc = [r.choice(kinds) for _ in range(r.randint(0, 25))]
+        n, hits, ids = scan(b" ".join(doc), None, Automaton(items, 4))
+        want, named = set(), set()
+        for i, t in items:
+            w = t.encode().split()
+            for g in (w[k : k + 4] for k in range(max(1, len(w) - 3))):
+                for p in range(len(doc) - len(g) + 1):
+                    if doc[p : p + len(g)] == g:
+                        want |= set(range(p, p + len(g)))
+                        named.add(i)
+        assert n == len(doc) and {x for a, b, _, _ in hits for x in range(a, b + 1)} == want and set(ids) == named
+
+
 def test_toxicity_cases(odd, labels):
     assert toxicity(odd, labels).count() == odd.count()
     assert toxicity(odd, labels.limit(0)).filter("score != 0").count() == 0
