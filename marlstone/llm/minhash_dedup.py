@@ -32,7 +32,7 @@ from .components import connected_components
 
 SLOTS = 180
 MISS = 1e-6
-BLOCK = 128
+BLOCK = 512
 #: Elements which get their permutation in one array (bounds memory for very long texts).
 PART = 8192
 _SCALE = np.float32(2.0**-24)
