@@ -169,14 +169,12 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
     return result
 
 
-def suffix_keys(tokens: list[str], depth: int) -> list[bytes]:
-    """Digests of the first `depth` tokens of every suffix that has as many (of the only one, if there are fewer)."""
+def suffix_keys(tokens: list[str], depth: int) -> list[int]:
+    """64-bit digests of the first `depth` tokens of every suffix that has as many (of the only one, if there are fewer)."""
     if not tokens:
         return []
-    return [
-        hashlib.blake2b("\x1f".join(tokens[i : i + depth]).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        for i in range(max(1, len(tokens) - depth + 1))
-    ]
+    heads = ("\x1f".join(tokens[i : i + depth]) for i in range(max(1, len(tokens) - depth + 1)))
+    return [int.from_bytes(hashlib.blake2b(h.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for h in heads]
 
 
 _BLOCK = pa.list_(pa.struct([("kind", pa.int32()), ("text", pa.string())]))
@@ -201,13 +199,13 @@ def _parser(depth: int, decide: str):
                 whole = hashlib.blake2b("\n".join(t for _, t in blocks).encode("utf-8", "surrogatepass"), digest_size=8)
                 pages.append(int.from_bytes(whole.digest(), "little", signed=True))
                 keys.append(sorted({x for k, t in blocks if k != CONTENT for x in suffix_keys(t.split(" "), depth)}))
-            cols = [*(b.column(i) for i in (0, 1, 2)), pa.array(pages, pa.int64()), pa.array(out, _BLOCK), pa.array(keys, pa.list_(pa.binary()))]
+            cols = [*(b.column(i) for i in (0, 1, 2)), pa.array(pages, pa.int64()), pa.array(out, _BLOCK), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "host", "page", "blocks", "keys"])
 
     return run
 
 
-def uncovered(text: str, gone: set[bytes], depth: int) -> str:
+def uncovered(text: str, gone: set[int], depth: int) -> str:
     """What of a block no repeated substring covers."""
     tokens = text.split(" ")
     covered = bytearray(len(tokens))
@@ -233,17 +231,20 @@ def _joined(depth: int):
 def extract_main_text(pages: DataFrame, depth: int = DEPTH, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, decide: str = "both") -> DataFrame:
     """page_id, url, text, n_chars per row of pages."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
-    rows = pages.select("page_id", "url", host.alias("host"), "html")
+    rows = pages.select("page_id", "url", F.xxhash64(host).alias("host"), "html")
     ids, url = (pages.schema[c].dataType.simpleString() for c in ("page_id", "url"))
-    parsed = rows.mapInArrow(_parser(depth, decide), f"page_id {ids}, url {url}, host string, page long, blocks array<struct<kind:int,text:string>>, keys array<binary>")
+    parsed = rows.mapInArrow(_parser(depth, decide), f"page_id {ids}, url {url}, host long, page long, blocks array<struct<kind:int,text:string>>, keys array<long>")
     parsed = save(parsed.withColumn("rid", F.monotonically_increasing_id()), "page-blocks")
 
     total = parsed.groupBy("host").agg(F.count_distinct("page").alias("pages"))
     counts = parsed.select("host", "page", F.explode("keys").alias("key")).distinct().groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
     repeated = counts.filter(F.col("n") >= min_pages).join(total, "host").filter(F.col("n") > min_share * F.col("pages"))
     repeated = save(repeated.select("host", "key"), "repeated-suffixes")
-    open_ = parsed.filter(F.exists("blocks", lambda x: x["kind"] == UNDECIDED))
+    # Only pages with undecided blocks meet the repeated suffixes; the texts of all others stay where they are.
+    undecided = F.exists("blocks", lambda x: x["kind"] == UNDECIDED)
+    open_ = parsed.filter(undecided)
     hits = open_.select("rid", "host", F.explode("keys").alias("key")).join(maybe_broadcast(repeated, 500_000), ["host", "key"])
     hits = hits.groupBy("rid").agg(F.collect_list("key").alias("drops"))
-    out = parsed.join(hits, "rid", "left").select("page_id", "url", "blocks", "drops")
+    closed = parsed.filter(~undecided).select("page_id", "url", "blocks", F.lit(None).cast("array<long>").alias("drops"))
+    out = closed.unionByName(open_.join(hits, "rid", "left").select("page_id", "url", "blocks", "drops"))
     return out.mapInArrow(_joined(depth), f"page_id {ids}, url {url}, text string").withColumn("n_chars", F.char_length("text").cast("long"))
