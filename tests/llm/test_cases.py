@@ -417,3 +417,44 @@ def test_passages(spark, odd):
     assert found == set(range(5))
     assert all(r.first_word == r.match_first == 80 and r.last_word == 139 for r in got if not r.whole)
     assert [(r.doc_id, r.match_id) for r in got if r.whole] == [(51, 50)]
+
+
+def test_passages_around_a_common_template_against_brute_force(spark):
+    """The shortest text shares only a template of 40 words; passages that hold more of it than that are found in all others, at every place."""
+    r, rows = random.Random(10), []
+    template = words(500, 40)
+    for g in range(30):  # each pair has ten words of its own beside the template
+        left, right = words(600 + g, 10), words(700 + g, 10)
+        passage = f"{left} {template}" if g % 3 == 0 else f"{template} {right}" if g % 3 == 1 else f"{words(600 + g, 5)} {template} {words(700 + g, 5)}"
+        rows += [(10 * g + k, f"{words(1000 + 10 * g + k, r.randint(30, 90))} {passage} {words(2000 + 10 * g + k, r.randint(30, 90))}", "s") for k in range(2)]
+    rows += [(1, f"{words(3000, 8)} {template} {words(3001, 8)}", "s"), (2, f"{words(3002, 5)} {template} {words(600, 10)} x", "s")]
+    twice = words(800, 55)
+    rows += [(3, f"{twice} a b {twice} c {twice}", "s"), (4, words(801, 300) + " " + twice, "s")]
+    got = repeated_passages(table(spark, rows)).collect()
+    inside, groups = {}, {}
+    for x in got:
+        for i, a, b in ((x.doc_id, x.first_word, x.last_word), (x.match_id, x.match_first, x.match_last)):
+            inside.setdefault(i, set()).update(range(a, b + 1))
+        one = groups.get(x.doc_id, {x.doc_id}) | groups.get(x.match_id, {x.match_id})
+        groups.update({i: one for i in one})
+    where = {}
+    for i, text, _ in rows:
+        w = text.split()
+        for k in range(len(w) - 49):
+            where.setdefault(tuple(w[k : k + 50]), set()).add((i, k))
+    shared = [at for at in where.values() if len({i for i, _ in at}) > 1]
+    assert len(shared) > 30
+    for at in shared:
+        assert len({frozenset(groups.get(i, {i})) for i, _ in at}) == 1, at
+        assert all(inside[i] >= set(range(k, k + 50)) for i, k in at), at
+
+
+def test_runs_that_a_passage_holds_for_certain():
+    """50 words with one word changed keep a similarity of 0.8, and 21 equal tokens in a row wherever it is."""
+    from marlstone.llm.substring_dedup import least_run
+
+    assert least_run(46, 4, 5) == 21 and least_run(46, 1, 1) == 46
+    w = words(900, 50).split()
+    for at in range(5, 45):
+        same = _common.shingle_hashes(" ".join(w).encode()) == _common.shingle_hashes(" ".join(w[:at] + ["other"] + w[at + 1 :]).encode())
+        assert max(len(x) for x in "".join("x" if s else " " for s in same).split()) >= 21
