@@ -26,7 +26,19 @@ def query(sql: str | None = None):
     return add
 
 
+def bound_batches(spark: SparkSession, rows: int = 500, size: int = 4 << 20) -> None:
+    """Arrow batches of at most `rows` cells and about `size` bytes, unless the session asks for fewer: what a Python worker holds at a time.
+
+    These are settings of the session, read when a job runs; queries set them, functions and plans leave sessions alone.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        found = spark.conf.get(name)
+        if not (found.rstrip("bB").isdigit() and 0 < int(found.rstrip("bB")) <= most):
+            spark.conf.set(name, str(most))
+
+
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
@@ -534,6 +546,7 @@ _ODD = "SELECT CASE WHEN r_regionkey < 2 THEN NULL ELSE 1 END AS k, repeat(r_nam
 @query(f"SELECT k, md5(text) AS digest, how, true AS sound FROM ({_ODD}), (VALUES ('blocks'), ('legacy'), ('whole')) v(how)")
 def repeated_keys(spark, sf):
     """Rows with null and repeated keys are rows like any other, whatever their size."""
+    bound_batches(spark)
     rows = spark.read.parquet(f"{sf}/region.parquet").select(F.expr("IF(r_regionkey < 2, NULL, 1)").alias("k"), F.expr("encode(repeat(r_name || ' ', CAST(1 + 15000 * (r_regionkey % 2) AS INT)), 'utf-8')").alias("content"))
     blocks = decompress_blocks(compress_frames(rows)).select("k", F.lit("blocks").alias("how"), "data", "content_checksum_valid", "error")
     whole = lambda made, how: made.select("k", F.lit(how).alias("how"), codecs.frame_decompress("frame").alias("d")).select("k", "how", "d.data", "d.content_checksum_valid", "d.error")
