@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import time
+from array import array
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, functions as F
@@ -130,8 +132,20 @@ _SEQUENCES = pa.list_(pa.struct([(n, pa.int64()) for n in ("literal_length", "ma
 
 def block_sequences(col) -> Column:
     """Sequences of a block, without decoding."""
-    names = ("literal_length", "match_offset", "match_length")
-    return _map(SEQUENCES, _SEQUENCES, lambda b: [dict(zip(names, s)) for s in _bytes.sequences_of(b)])(col)
+
+    def run(cells: pa.Array) -> pa.Array:
+        flat, counts = array("q"), [0]  # three numbers a sequence, so that a batch holds no object for each
+        for b in cells.cast(pa.binary()):
+            if b.is_valid:
+                for s in _bytes.sequences_of(b.as_py()):
+                    flat.extend(s)
+            counts.append(len(flat) // 3)
+        by = np.frombuffer(flat, np.int64).reshape(-1, 3)
+        rows = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(by[:, i])) for i in range(3)], fields=list(_SEQUENCES.value_type))
+        return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), rows, mask=cells.is_null()).cast(_SEQUENCES)
+
+    run.__annotations__ = {"cells": pa.Array, "return": pa.Array}
+    return arrow_udf(run, SEQUENCES)((F.col(col) if isinstance(col, str) else col).cast("binary"))
 
 
 BLOCK = "struct<offset:bigint,header_size:int,compressed_size:bigint,is_uncompressed:boolean,block_checksum:bigint,block_checksum_valid:boolean>"
