@@ -191,6 +191,16 @@ def tar_header(name: Column, size: Column, mtime: Column, kind: Column) -> Colum
     return arrow_udf(run, "binary")(name, size.cast("long"), mtime.cast("long"), kind)
 
 
+def tar_archive(files: Column, mtime: int) -> Column:
+    """The archive of an ordered array of files (structs with name and data)."""
+
+    def run(cells: pa.Array) -> pa.Array:
+        return pa.array([_bytes.tar_archive(c.as_py(), mtime) if c.is_valid else None for c in cells], pa.binary())
+
+    run.__annotations__ = {"cells": pa.Array, "return": pa.Array}
+    return arrow_udf(run, "binary")(files)
+
+
 TAR = "array<struct<name:string,type:string,size:bigint,mtime:bigint,checksum_valid:boolean,data:binary>>"
 _TAR = pa.list_(pa.struct([("name", pa.string()), ("type", pa.string()), ("size", pa.int64()), ("mtime", pa.int64()), ("checksum_valid", pa.bool_()), ("data", pa.binary())]))
 

@@ -1,4 +1,4 @@
-"""Tar archives as DataFrames: one Arrow function for headers, packing as an ordered aggregation, unpacking as rows."""
+"""Tar archives as DataFrames: one Arrow function for archives, packing as an ordered aggregation, unpacking as rows."""
 
 from __future__ import annotations
 
@@ -18,20 +18,13 @@ def ancestors(df: DataFrame, group: str, name: str) -> DataFrame:
 def pack(df: DataFrame, group: str, order: str, name: str, data: str, mtime: int = 0) -> DataFrame:
     """group, archive: ancestor directories sorted by name, then files in their order, padded, and two zero blocks.
 
-    An archive is one cell, so one archive must fit a task, as it must fit one file.
+    An archive is one cell, so one archive must fit a task, as it must fit one file. Only names and data are shuffled; directories and
+    headers are made where the files of a group are.
     """
-    files = df.select(group, F.lit(1).alias("part"), F.col(order).cast("long").alias("at"), F.col(name).alias("name"), F.col(data).cast("binary").alias("data"))
-    dirs = ancestors(df, group, name).select(group, F.lit(0).alias("part"), F.lit(0).cast("long").alias("at"), "name", F.unhex(F.lit("")).alias("data"))
-    rows = dirs.unionByName(files)
-    rows = rows.withColumn("data", F.coalesce("data", F.unhex(F.lit(""))))
-    size = F.octet_length("data").cast("long")
-    kind = F.when(F.col("part") == 0, "5").otherwise("0")
-    padded = F.rpad(F.col("data"), F.ceil(size / 512).cast("int") * 512, F.unhex(F.lit("00")))
-    header = codecs.tar_header(F.col("name"), size, F.lit(mtime), kind)
-    entry = F.concat(header, F.when(size > 0, padded).otherwise(F.unhex(F.lit(""))))
-    rows = rows.select(group, "part", "at", "name", entry.alias("entry"))
-    body = F.expr("listagg(e.entry) WITHIN GROUP (ORDER BY e.part, e.at, e.name)")
-    return rows.select(group, F.struct("part", "at", "name", "entry").alias("e")).groupBy(group).agg(F.concat(body, F.unhex(F.repeat(F.lit("00"), 1024))).alias("archive"))
+    file = F.struct(F.col(order).cast("long").alias("at"), F.col(name).alias("name"), F.col(data).cast("binary").alias("data"))
+    files = df.select(group, file.alias("f")).groupBy(group).agg(F.array_sort(F.collect_list("f")).alias("files"))
+    named = F.transform("files", lambda f: F.struct(f["name"].alias("name"), f["data"].alias("data")))
+    return files.select(group, named.alias("files")).select(group, codecs.tar_archive(F.col("files"), mtime).alias("archive"))
 
 
 def archive_names(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
