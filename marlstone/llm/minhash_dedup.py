@@ -185,7 +185,8 @@ def near_duplicates(
     classes = save(classes, "text-classes")
     multi = maybe_broadcast(classes.filter("copies > 1").select("key", "id"), 500_000)
     heads = live.select("doc_id", "key", "sig", "bands").join(multi, "key", "left")
-    leaders = heads.filter("id is null or id = doc_id").dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("id"), "sig", "bands")
+    # Only classes of several rows can hold a leader twice; all others reach their readers without a shuffle.
+    leaders = heads.filter("id is null").unionByName(heads.filter("id = doc_id").dropDuplicates(["doc_id", "key"])).select(F.col("doc_id").alias("id"), "sig", "bands")
 
     # Band members; buckets of one are gone before anything is joined.
     at = leaders.select("id", F.posexplode("bands").alias("number", "bucket"))
@@ -229,7 +230,9 @@ def near_duplicates(
             F.greatest("own", "other").alias("y"),
             F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("half"),
         )
-        sides = rest.join(leaders.select("id", "sig"), "id").join(texts, "id")
+        # Signatures and texts of other documents stay where they are.
+        ids = maybe_broadcast(save(rest_of.select("id").distinct(), "open-ids"), 2_000_000)
+        sides = rest.join(leaders.select("id", "sig").join(ids, "id", "left_semi"), "id").join(texts.join(ids, "id", "left_semi"), "id")
         more = sides.groupBy("bucket", "x", "y").applyInArrow(_block_links(width, num, den, rows), "a long, b long")
         more = save(more.distinct(), "block-links")
         if not small_enough(more, 0):

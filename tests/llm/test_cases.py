@@ -3,12 +3,13 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import _common, pii, queries as q
+from marlstone.llm import _common, minhash_dedup, pii, queries as q
 from marlstone.llm.chat_format import fold_events, format_chats, loss_text, parse
 from marlstone.llm.decontaminate import Automaton, drop_contaminated, find_contamination, judge, pieces_of, scan
 from marlstone.llm.exact_dedup import CHUNK, compose, exact_dedup, fingerprint
@@ -124,6 +125,43 @@ def test_hot_buckets_are_compared_in_blocks(spark):
     assert got == dict(enumerate(top))
 
 
+def test_documents_outside_open_buckets_are_not_shuffled_to_the_blocks(spark, monkeypatch):
+    """The bytes that the block step shuffles follow its open members, however many documents there are besides; repeated rows stay one leader."""
+    versions = words(31, 200).split()
+    family = []
+    for i in range(40):  # every other version lies far from its neighbours, so the bucket stays open
+        own = versions[:]
+        for k in range(0, 200, 14):
+            own[(k + i % 4) % 200] = f"v{i % 8}x{k}"
+        family.append((i, " ".join([*own, f"end{i}"]), "s"))
+
+    def shuffled():
+        time.sleep(0.3)
+        spark.range(1).count()  # brings the summary up to date
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        found = spark._jsc.sc().statusStore().executorList(True)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    blocks = []
+
+    def measured(df, label):
+        before = shuffled() if label == "block-links" else 0
+        out = _common.save(df, label)
+        if label == "block-links":
+            blocks.append(shuffled() - before)
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "save", measured)
+    got = []
+    for others in (0, 3000):
+        rows = family * 2 + [(1000 + i, words(5000 + i, 12), "s") for i in range(others)]
+        out = near_duplicates(table(spark, rows), block=8).collect()
+        got.append({x.doc_id: x.component_id for x in out if x.doc_id < 1000})
+        assert len(out) == len(rows) and all(x.component_id == x.doc_id for x in out if x.doc_id >= 1000)
+    assert got[0] == got[1] and len(got[0]) == 40
+    assert len(blocks) == 2 and blocks[1] < 1.2 * blocks[0] + 100_000
+
+
 def test_decontamination_cases(spark, odd):
     bench = spark.createDataFrame([(1, "Same, TEXT here"), (None, "same"), (2, None), (3, ""), (1, "same text")], "item_id long, text string")
     got = {r.row.doc_id: r for r in judge(find_contamination(odd, bench)).collect() if r.row.doc_id}
