@@ -9,7 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import _common, minhash_dedup, pii, queries as q
+from marlstone.llm import _common, minhash_dedup, pii, queries as q, substring_dedup
 from marlstone.llm.chat_format import fold_events, format_chats, loss_text, parse
 from marlstone.llm.decontaminate import Automaton, drop_contaminated, find_contamination, judge, pieces_of, scan
 from marlstone.llm.exact_dedup import CHUNK, compose, exact_dedup, fingerprint
@@ -496,3 +496,15 @@ def test_runs_that_a_passage_holds_for_certain():
     for at in range(5, 45):
         same = _common.shingle_hashes(" ".join(w).encode()) == _common.shingle_hashes(" ".join(w[:at] + ["other"] + w[at + 1 :]).encode())
         assert max(len(x) for x in "".join("x" if s else " " for s in same).split()) >= 21
+
+
+def test_a_group_of_windows_meets_its_elected_text_in_parts_and_without_a_join_for_its_size(spark, monkeypatch):
+    """Pairs grow with the members of a group and not with their square, whether a group is larger than one part or not."""
+    monkeypatch.setattr(substring_dedup, "PART", 16)
+    for n in (10, 200, 400):
+        rows = [(1, i, 100 + i, 5, 2, 3) for i in range(n)] + [(2, i, 100 + i, 50 + k, 2, 3) for i in (3, 4) for k in range(40)] + [(3, 7, 107, 1, 2, 3)]
+        windows = spark.createDataFrame(rows, substring_dedup._WINDOW)
+        members, pairs = substring_dedup._meetings(windows, "parts")
+        got = {(x.a, x.b): len(x.hits) for x in pairs.collect()}
+        assert got == {(0, i): 1 for i in range(1, n)} | {(3, 4): 40} and members.count() == n + 80
+        assert "LeftOuter" not in pairs._jdf.queryExecution().optimizedPlan().toString()
