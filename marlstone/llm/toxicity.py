@@ -12,8 +12,11 @@ each class, weighted back to the share of their class; the text's own counts are
 
 Counts cover all labelled texts the caller allows; they are Spark aggregations and grow with the corpus, no share of it is cut off.
 Entries that a discount reduces to nothing in both classes cannot change a score, and are not looked up. The others are broadcast
-if their counted number is at most `max_broadcast`; beyond it texts are exploded to their distinct pairs and joined. Both ways
-compute the same features.
+if their counted number is at most `max_broadcast`. Beyond it the sample of the fit is exploded to its distinct pairs and joined, and
+a word or pair is broadcast as its key and log ratio alone, which is all a text's score needs: all of them at once, or in parts of the words
+with the pairs that end with them, one part after another. A text's features are sums, maxima and highest values over its words, so those
+of the parts, a few numbers a text, are put together by the digest of the text; no text and no word of a text is shuffled to be scored.
+All ways compute the same features.
 
 Defined results: null and empty texts score the fitted curve at zero words. Rows with null or missing labels teach
 nothing; of several labels of one doc_id the largest counts. Repeated rows are scored each, alike. Without labelled texts of both
@@ -24,14 +27,16 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import LongType
 
-from ._common import maybe_broadcast, mix64, save, shingle_hashes, small_enough, spaced
+from ._common import maybe_broadcast, mix64, salted_join, save, shingle_hashes, small_enough, spaced
 
 PAIR_DISCOUNT = 3
 WORD_DISCOUNT = 4
@@ -40,10 +45,16 @@ REJECT_AT = 0.7
 CHUNK_BYTES = 200_000
 #: Largest number of model entries that is broadcast (at most 56 bytes each).
 MODEL_ROWS = 4_000_000
+#: Largest number of entries that one part of the model holds as keys and log ratios (16 bytes each).
+PART_ROWS = 8_000_000
+#: Labels that are broadcast at once.
+LABEL_ROWS = 2_000_000
 START = np.uint64(1)
 #: Byte table: ASCII capitals become small; other ASCII bytes than letters become blanks.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 FEATURES = 8
+#: Numbers of a text in one part of the model: see _sums.
+SUMS = 9
 
 
 @dataclass
@@ -78,11 +89,15 @@ def _chunk(texts: list[bytes]) -> Chunk:
     text = np.repeat(np.arange(len(texts)), n)
     before = np.roll(w, 1)
     before[(np.cumsum(n) - n)[n > 0]] = START
-    pair = mix64(before ^ mix64(w, 31), 32)
+    pair = _pair(before, w)
     _, first, times = np.unique(mix64(pair ^ text.astype(np.uint64), 33), return_index=True, return_counts=True)
     return Chunk(len(texts), n, text[first], w[first], before[first], pair[first], times)
 
 
+def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix64(before ^ mix64(word, 31), 32)
+
+
 def _summed(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Distinct keys, where each occurs first, and how often in either class."""
     u, first, at = np.unique(keys, return_index=True, return_inverse=True)
@@ -110,7 +125,12 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for c, toxic in _labelled(batches):
         u, first, n = _summed(c.pair, toxic)
-        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.before[first].view(np.int64)), *map(pa.array, n)], names=["key", "h", "c0", "c1"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[first].view(np.int64)) for x in (c.word, c.before)] + [*map(pa.array, n)], names=["word", "h", "c0", "c1"])
+
+
+@arrow_udf(LongType())
+def _pair_key(before: pa.Array, word: pa.Array) -> pa.Array:
+    return pa.array(_pair(*(x.to_numpy().view(np.uint64) for x in (before, word))).view(np.int64))
 
 
 @dataclass
@@ -150,26 +170,13 @@ class Model:
         u = _looked_up(self.arrays[0], self.arrays[1:3], t.word)
         c0, c1, lam, used0, used1 = _looked_up(self.arrays[3], self.arrays[4:], t.pair)
         c = [c0, c1]
-        _, place, group, per = np.unique(mix64(t.word ^ t.text.astype(np.uint64), 34), return_index=True, return_inverse=True, return_counts=True)
         if own is not None:
+            _, group, per = _by_word(t)
             for k in (0, 1):
                 mine = own[t.text] == k
                 c[k] = c[k] - mine
                 u[k] = np.maximum(u[k] - mine * per[group], 0)
-        r = self.ratio(u, c, lam, (used0, used1), np.log, np.maximum)
-        best = np.full(len(place), -np.inf)
-        np.maximum.at(best, group, r)
-        owner = t.text[place]
-        order = np.lexsort((-best, owner))
-        rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
-        top = np.zeros((t.size, 3))
-        lead = rank < 3
-        top[owner[order][lead], rank[lead]] = best[order][lead]
-        total = lambda at, v: np.bincount(at, v, minlength=t.size)
-        n, kinds = np.maximum(t.words, 1), np.maximum(np.bincount(owner, minlength=t.size), 1)
-        return np.column_stack(
-            [total(t.text, r * t.times) / n, total(owner, best) / kinds, top, total(owner, np.maximum(best - 1, 0)), total(t.text, np.maximum(r - 1, 0) * t.times) / n, np.log1p(t.words)]
-        )
+        return finished(_sums(t, self.ratio(u, c, lam, (used0, used1), np.log, np.maximum))[:, None])
 
     def score(self, features: np.ndarray) -> np.ndarray:
         mean, scale, w = self.curve
@@ -177,13 +184,65 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
 
 
-def _looked_up(keys: np.ndarray, values: tuple[np.ndarray, ...], wanted: np.ndarray) -> list[np.ndarray]:
-    """Values at the wanted keys of sorted keys, zero where there is none."""
+def _by_word(t: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of each text: where one occurs first, which one each pair ends with, and how many pairs do."""
+    return np.unique(mix64(t.word ^ t.text.astype(np.uint64), 34), return_index=True, return_inverse=True, return_counts=True)[1:]
+
+
+def _sums(t: Chunk, r: np.ndarray) -> np.ndarray:
+    """Of each text, by the log ratios r of its pairs: words, distinct words, sums of r and of what lies above one, the same over the
+    best r of each distinct word, and the three highest of these (minus infinity where there are fewer)."""
+    place, group, _ = _by_word(t)
+    best = np.full(len(place), -np.inf)
+    np.maximum.at(best, group, r)
+    owner = t.text[place]
+    order = np.lexsort((-best, owner))
+    rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
+    top = np.full((t.size, 3), -np.inf)
+    lead = rank < 3
+    top[owner[order][lead], rank[lead]] = best[order][lead]
+    total = lambda at, v: np.bincount(at, v, minlength=t.size)
+    return np.column_stack(
+        [t.words, np.bincount(owner, minlength=t.size), total(t.text, r * t.times), total(t.text, np.maximum(r - 1, 0) * t.times), total(owner, best), total(owner, np.maximum(best - 1, 0)), top]
+    )
+
+
+def finished(sums: np.ndarray) -> np.ndarray:
+    """Features from the numbers of texts (texts, parts of the model, SUMS)."""
+    words = sums[:, 0, 0]
+    kinds, r, above, best, best_above = sums[:, :, 1:6].sum(1).T
+    top = -np.sort(-sums[:, :, 6:].reshape(len(sums), -1), axis=1)[:, :3]
+    n = np.maximum(words, 1)
+    return np.column_stack([r / n, best / np.maximum(kinds, 1), np.where(np.isinf(top), 0, top), best_above, above / n, np.log1p(words)])
+
+
+@dataclass
+class Part:
+    """Log ratios of the words that leave `index` modulo `parts`, and of the pairs that end with them: sorted keys and values."""
+
+    index: int
+    parts: int
+    words: tuple[np.ndarray, np.ndarray]
+    pairs: tuple[np.ndarray, np.ndarray]
+
+    def sums(self, raws: list[bytes | None]) -> np.ndarray:
+        out = [np.empty((0, SUMS))]
+        for t in chunks_of(raws):
+            if self.parts > 1:
+                mine = t.word.view(np.int64) % self.parts == self.index
+                t = replace(t, text=t.text[mine], word=t.word[mine], before=t.before[mine], pair=t.pair[mine], times=t.times[mine])
+            r = _looked_up(self.words[0], self.words[1:], t.word)[0]
+            out.append(_sums(t, _looked_up(self.pairs[0], self.pairs[1:], t.pair, r)[0]))
+        return np.concatenate(out)
+
+
+def _looked_up(keys: np.ndarray, values: tuple[np.ndarray, ...], wanted: np.ndarray, none: np.ndarray | float = 0.0) -> list[np.ndarray]:
+    """Values at the wanted keys of sorted keys, `none` where there is none."""
     if not len(keys):
-        return [np.zeros(len(wanted)) for _ in values]
+        return [np.zeros(len(wanted)) + none for _ in values]
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     hit = keys[at] == wanted
-    return [np.where(hit, v[at], 0.0) for v in values]
+    return [np.where(hit, v[at], none) for v in values]
 
 
 def expand(x: np.ndarray) -> np.ndarray:
@@ -216,9 +275,9 @@ def _tables(rows: DataFrame) -> Model:
     """The model of labelled rows (text, toxic), without arrays and curve."""
     words = rows.mapInArrow(_count_words, "key long, u0 long, u1 long, p0 long, p1 long").groupBy("key")
     words = save(words.agg(*(F.sum(c).alias(c) for c in ("u0", "u1", "p0", "p1"))), "word-counts")
-    pairs = rows.mapInArrow(_count_pairs, "key long, h long, c0 long, c1 long").groupBy("key", "h")
+    pairs = rows.mapInArrow(_count_pairs, "word long, h long, c0 long, c1 long").groupBy("word", "h")
     pairs = pairs.agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).filter(F.greatest("c0", "c1") > PAIR_DISCOUNT)
-    pairs = save(pairs, "pair-counts")
+    pairs = save(pairs.withColumn("key", _pair_key("h", "word")), "pair-counts")
     left = lambda c, d: F.greatest(F.col(c) - d, F.lit(0))
     totals = words.agg(*(F.sum(c).alias(c) for c in ("u0", "u1")), *(F.sum(left(c, WORD_DISCOUNT)).alias(f"own{c}") for c in ("u0", "u1"))).first()
     n, own = (totals.u0, totals.u1), (totals.ownu0, totals.ownu1)
@@ -226,7 +285,7 @@ def _tables(rows: DataFrame) -> Model:
     used = pairs.groupBy("h").agg(F.sum(left("c0", PAIR_DISCOUNT)).alias("used0"), F.sum(left("c1", PAIR_DISCOUNT)).alias("used1")).filter("used0 > 0 and used1 > 0")
     used = used.join(words.select(F.col("key").alias("h"), "p0", "p1"), "h")
     used = used.select("h", "used0", "used1", F.least(F.col("used0") / F.col("p0"), F.col("used1") / F.col("p1")).alias("lam"))
-    pairs = save(pairs.join(used, "h").select("key", *(F.col(c).cast("double").alias(c) for c in ("c0", "c1", "lam", "used0", "used1"))), "pair-model")
+    pairs = save(pairs.join(used, "h").select("key", *(F.col(c).cast("double").alias(c) for c in ("c0", "c1", "lam", "used0", "used1")), "word"), "pair-model")
     heavy = words.filter(F.greatest("u0", "u1") > min(PAIR_DISCOUNT, WORD_DISCOUNT))
     heavy = save(heavy.select("key", *(F.col(c).cast("double").alias(c) for c in ("u0", "u1"))), "word-model")
     return Model(heavy, pairs, weight, (max(own[0], 1), max(own[1], 1)), float(max(sum(n), 1)))
@@ -235,15 +294,35 @@ def _tables(rows: DataFrame) -> Model:
 def _loaded(model: Model) -> tuple[np.ndarray, ...]:
     """Sorted keys and values of both tables, on the driver; called behind a count of their rows."""
     out = []
-    for df in (model.words, model.pairs):
-        t = df.toArrow()
-        cols = [t.column(c).to_numpy() for c in df.columns]
-        cols[0] = cols[0].view(np.uint64)
-        order = np.argsort(cols[0])
-        out += [c[order] for c in cols]
+    for df in (model.words, model.pairs.drop("word")):
+        out += _sorted(df)
     return tuple(out)
 
 
+def _sorted(df: DataFrame) -> list[np.ndarray]:
+    t = df.toArrow()
+    cols = [t.column(c).to_numpy() for c in df.columns]
+    cols[0] = cols[0].view(np.uint64)
+    order = np.argsort(cols[0])
+    return [c[order] for c in cols]
+
+
+def _ratios(model: Model) -> DataFrame:
+    """word, key, paired, r of every entry of the model: the log ratio of a pair, and of a word behind one that makes no pair with it."""
+    most = lambda x, y: F.greatest(x, F.lit(float(y)))
+    none = F.lit(0.0)
+    u = (F.col("u0"), F.col("u1"))
+    alone = model.words.select(F.col("key").alias("word"), "key", F.lit(False).alias("paired"), model.ratio(u, (none, none), none, (none, none), F.ln, most).alias("r"))
+    both = model.pairs.join(model.words.withColumnRenamed("key", "word"), "word", "left").na.fill(0.0)
+    r = model.ratio(u, (F.col("c0"), F.col("c1")), F.col("lam"), (F.col("used0"), F.col("used1")), F.ln, most)
+    return save(alone.unionByName(both.select("word", "key", F.lit(True).alias("paired"), r.alias("r"))), "log-ratios")
+
+
+def _part(ratios: DataFrame, index: int, parts: int) -> Part:
+    own = ratios.filter(F.pmod("word", F.lit(parts)) == index)
+    return Part(index, parts, *(tuple(_sorted(own.filter(F.col("paired") == x).select("key", "r"))) for x in (False, True)))
+
+
 TOKEN = "word long, pair long, n long, per long"
 
 
@@ -260,12 +339,13 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def joined_features(rows: DataFrame, model: Model) -> DataFrame:
-    """rid, f (features) of rows (text, rid, own) that have words, by joins with the counted tables.
+    """rid, f (features) of rows (text, rid, own) that have words, by joins with the counted tables: for the sample of the fit, as
+    the distinct pairs of a text take several times the room of the text.
 
     Frequent words make large join groups on the side of the texts only, which adaptive execution may split.
     """
     tokens = rows.select("text", "rid", "own").mapInArrow(_tokens, f"rid long, own long, {TOKEN}")
-    j = tokens.join(model.pairs.withColumnRenamed("key", "pair"), "pair", "left").join(model.words.withColumnRenamed("key", "word"), "word", "left").na.fill(0.0)
+    j = tokens.join(model.pairs.drop("word").withColumnRenamed("key", "pair"), "pair", "left").join(model.words.withColumnRenamed("key", "word"), "word", "left").na.fill(0.0)
     mine = lambda k: F.when(F.col("own") == k, 1).otherwise(0)
     u = [F.greatest(F.col(f"u{k}") - mine(k) * F.col("per"), F.lit(0.0)) for k in (0, 1)]
     c = [F.col(f"c{k}") - mine(k) for k in (0, 1)]
@@ -293,12 +373,22 @@ def _features(box):
     return features
 
 
+def _with_labels(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """docs joined to known by doc_id. Texts stay where they are: labels beyond LABEL_ROWS are broadcast in parts, each to the rows it may match."""
+    parts = -(-known.count() // LABEL_ROWS)
+    if parts < 2:
+        return docs.join(F.broadcast(known), "doc_id")
+    own = lambda df, i: df.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(parts)) == i)
+    known = save(known, "labels")
+    return reduce(DataFrame.unionByName, [own(docs, i).join(F.broadcast(own(known, i)), "doc_id") for i in range(parts)])
+
+
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_broadcast: int = MODEL_ROWS) -> Model | float:
     """The model of all labelled rows that are not held out; a bare share of toxic texts if a class is missing."""
     spark = docs.sparkSession
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
-    rows = docs.select("doc_id", "text").join(maybe_broadcast(known, 2_000_000), "doc_id").select("text", "toxic", "doc_id")
+    rows = _with_labels(docs.select("doc_id", "text"), known).select("text", "toxic", "doc_id")
     total, toxic = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not toxic or toxic == total:
         return toxic / total if toxic else 0.0
@@ -318,38 +408,83 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_broa
     return model
 
 
-def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_broadcast: int = MODEL_ROWS) -> DataFrame:
-    """row (struct of a row of docs), score."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+def _digest(text: Column) -> Column:
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), 1, 16)
+
+
+def _part_sums(box):
+    @arrow_udf("array<double>")
+    def sums(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        part = box.value
+        for texts in parts:
+            yield pa.array(list(part.sums(texts.cast(pa.binary()).to_pylist())), pa.list_(pa.float64()))
+
+    return sums
+
+
+def _scores(docs: DataFrame, labels: DataFrame, fit_rows: int, max_broadcast: int, part_rows: int) -> Column | DataFrame:
+    """The score of a row of docs as a column of its text or, where the model takes several parts, as a table (digest, score) of the distinct texts."""
     model = train(docs, labels, fit_rows, max_broadcast)
     if isinstance(model, float):
-        return rows.withColumn("score", F.lit(model))
-    box = docs.sparkSession.sparkContext.broadcast(model)
+        return F.lit(model)
+    sc = docs.sparkSession.sparkContext
+    part = None
     if model.arrays is None:
-        rows = save(rows.withColumn("rid", F.monotonically_increasing_id()), "texts")
-        found = joined_features(rows.select("row.text", "rid", F.lit(None).cast("long").alias("own")), model)
-        rows = rows.join(found, "rid", "left").select("row", F.coalesce("f", F.array_repeat(F.lit(0.0), FEATURES)).alias("f"))
+        ratios = _ratios(model)
+        parts = max(1, -(-ratios.count() // part_rows))
+        if parts > 1:
+            return _scores_by_parts(docs, ratios, parts, model)
+        part = _part(ratios, 0, 1)
+    box = sc.broadcast((model, part))
 
     @arrow_udf("double")
-    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model, part = box.value
+        for cells in batches:
+            raws = cells.cast(pa.binary()).to_pylist()
+            yield pa.array(model.score(model.features(raws) if part is None else finished(part.sums(raws)[:, None])), pa.float64())
+
+    return score(F.coalesce("text", F.lit("")))
+
+
+def _scores_by_parts(docs: DataFrame, ratios: DataFrame, parts: int, model: Model) -> DataFrame:
+    """digest, score of the distinct texts, one part of the model in memory at a time."""
+    sc = docs.sparkSession.sparkContext
+    text = F.coalesce("text", F.lit(""))
+    found = []
+    for i in range(parts):
+        box = sc.broadcast(_part(ratios, i, parts))
+        found.append(save(docs.select(_digest(F.col("text")).alias("digest"), _part_sums(box)(text).alias("s")), "text-sums").withColumn("part", F.lit(i)))
+        box.destroy()
+    found = reduce(DataFrame.unionByName, found)
+    # A text that is there twice has the same numbers twice but for their last digits.
+    found = found.groupBy("digest").agg(F.array(*(F.min(F.when(F.col("part") == i, F.col("s"))) for i in range(parts))).alias("s"))
+    box = sc.broadcast(model)
+
+    @arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = box.value
-        for cells in parts:
-            if model.arrays is None:
-                x = np.array(cells.to_pylist()).reshape(-1, FEATURES)
-            else:
-                x = model.features(cells.cast(pa.binary()).to_pylist())
-            yield pa.array(model.score(x), pa.float64())
+        for cells in batches:
+            yield pa.array(model.score(finished(cells.flatten().flatten().to_numpy().reshape(-1, parts, SUMS))), pa.float64())
 
-    return rows.select("row", score(F.col("f") if model.arrays is None else F.coalesce("row.text", F.lit(""))).alias("score"))
+    return save(found.select("digest", score("s").alias("score")), "text-scores")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_broadcast: int = MODEL_ROWS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, max_broadcast: int = MODEL_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted."""
-    out = scored(docs, labels, max_broadcast=max_broadcast)
-    out = out.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score")
+    how = _scores(docs, labels, FIT_ROWS, max_broadcast, part_rows)
+    if isinstance(how, DataFrame):
+        out = salted_join(save(docs.select("doc_id", _digest(docs["text"]).alias("digest")), "text-digests"), how, "digest")
+    else:
+        out = docs.select("doc_id", how.alias("score"))
+    out = out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score")
     return out.withColumn("predicted", F.when(F.col("score") >= REJECT_AT, 1).otherwise(0))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, max_broadcast: int = MODEL_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
     """The rows of docs that score below REJECT_AT, with the columns of docs."""
-    return scored(docs, labels).filter(F.col("score") < REJECT_AT).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    how = _scores(docs, labels, FIT_ROWS, max_broadcast, part_rows)
+    if isinstance(how, Column):
+        return docs.filter(how < REJECT_AT)
+    rejected = maybe_broadcast(how.filter(F.col("score") >= REJECT_AT).select(F.col("digest").alias("rejected")), 2_000_000)
+    return docs.join(rejected, _digest(docs["text"]) == rejected["rejected"], "left_anti")

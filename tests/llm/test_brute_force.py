@@ -170,6 +170,22 @@ def test_toxicity_features(spark, docs, own):
         assert np.allclose(joined.get(i, [0.0] * tox.FEATURES), want)
 
 
+def test_a_large_toxicity_model_is_looked_up_in_parts_and_no_text_is_exploded_to_be_scored(spark, monkeypatch):
+    """Beyond the bound of a broadcast only the sample of the fit is joined; scores and kept rows are those of one broadcast, at any number of parts."""
+    d, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    d = d.unionByName(d.limit(40)).unionByName(spark.createDataFrame([(-1, None), (-1, ""), (None, "a b")], "doc_id long, text string"), True)
+    score = lambda **bounds: sorted((r.doc_id if r.doc_id is not None else -9, round(r.score, 9), r.predicted) for r in tox.toxicity(d, labels, **bounds).collect())
+    rows = lambda **bounds: sorted(map(str, tox.drop_toxic(d, labels, **bounds).collect()))
+    want, kept, joined, true = score(), rows(), [], tox.joined_features
+    monkeypatch.setattr(tox, "joined_features", lambda rows, model: joined.append(rows.count()) or true(rows, model))
+    monkeypatch.setattr(tox, "LABEL_ROWS", 100)
+    assert len({s for _, s, _ in want}) > 100 and len(kept) < d.count()
+    for bounds in ({}, {"part_rows": 300}):
+        assert score(max_broadcast=0, **bounds) == want
+    assert rows(max_broadcast=0, part_rows=300) == kept
+    assert joined and max(joined) <= d.join(labels, "doc_id").count()
+
+
 def test_personal_data(spark):
     from test_cases import naive_spans
 
