@@ -487,6 +487,26 @@ def test_passages_around_a_common_template_against_brute_force(spark):
         assert all(inside[i] >= set(range(k, k + 50)) for i, k in at), at
 
 
+def test_near_copies_that_the_elected_text_does_not_hold(spark, monkeypatch):
+    """The shortest text shares only a template of 30 words; near copies without 50 equal words in a row are found among the others, in one block or several."""
+    template, rows, pairs = words(500, 30), [(1, f"{words(3000, 12)} {words(500, 30)} {words(3001, 12)}", "s")], []
+    for g in range(30):
+        own = words(600 + g, 26).split()
+        near = own[: 8 + g % 9] + ["other"] + own[9 + g % 9 :]  # one word changed
+        near = near if g % 3 else near[: 20] + near[21:]  # and one left out
+        for k, x in ((0, own), (1, near)):
+            passage = f"{template} {' '.join(x)}" if g % 2 else f"{' '.join(x)} {template}"
+            rows.append((10 * g + 100 + k, f"{words(1000 + 10 * g + k, 40)} {passage} {words(2000 + 10 * g + k, 40)}", "s"))
+        if g % 3:
+            pairs.append((10 * g + 100, 10 * g + 101))
+    for part in (512, 16):
+        monkeypatch.setattr(substring_dedup, "PART", part)
+        got = {frozenset((x.doc_id, x.match_id)): x for x in repeated_passages(table(spark, rows)).collect()}
+        assert all(frozenset(p) in got for p in pairs)
+        assert all(x.similarity >= 0.8 and x.last_word - x.first_word >= 49 and x.match_last - x.match_first >= 49 for x in got.values())
+        assert all(max(p) - min(p) == 1 for p in got)
+
+
 def test_runs_that_a_passage_holds_for_certain():
     """50 words with one word changed keep a similarity of 0.8, and 21 equal tokens in a row wherever it is."""
     from marlstone.llm.substring_dedup import least_run
