@@ -186,6 +186,14 @@ def test_a_large_toxicity_model_is_looked_up_in_parts_and_no_text_is_exploded_to
     assert joined and max(joined) <= d.join(labels, "doc_id").count()
 
 
+def test_toxic_rows_are_dropped_without_a_shuffle_of_the_texts(spark):
+    """The stage of the pipeline, with a model in parts: only digests of rejected texts are sent to where the texts are."""
+    d, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    kept = tox.drop_toxic(d, labels, max_broadcast=0, part_rows=300)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "hashpartitioning" not in plan and 0 < kept.count() < d.count()
+
+
 def test_personal_data(spark):
     from test_cases import naive_spans
 
