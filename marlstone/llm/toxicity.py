@@ -15,7 +15,8 @@ Entries that a discount reduces to nothing in both classes cannot change a score
 if their counted number is at most `max_broadcast`. Beyond it the sample of the fit is exploded to its distinct pairs and joined, and
 a word or pair is broadcast as its key and log ratio alone, which is all a text's score needs: all of them at once, or in parts of the words
 with the pairs that end with them, one part after another. A text's features are sums, maxima and highest values over its words, so those
-of the parts, a few numbers a text, are put together by the digest of the text; no text and no word of a text is shuffled to be scored.
+of the parts, a few numbers a text, are put together by the digest of the text; no text and no word of a text is shuffled to be scored
+(drop_toxic sends the digests of rejected texts to the texts; beyond two million of them Spark shuffles both sides).
 All ways compute the same features.
 
 Defined results: null and empty texts score the fitted curve at zero words. Rows with null or missing labels teach
